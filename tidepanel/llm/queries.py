@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm.lineage import read
+from tidepanel.llm.lineage import cut, read
+from tidepanel.llm.mixing import draw, prepare
 from tidepanel.llm.packing import pack
+from tidepanel.llm.sharding import assign
 from tidepanel.llm.simhash import near_duplicates
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = cut(prepare(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))
+    taken = F.col("_mix.size") * F.col("_mix.copies")
+    return draw(slim).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", taken.alias("taken"), "source", "_mix.copies")
+
+
+def op7_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = assign(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
