@@ -11,6 +11,7 @@ from tidepanel.llm import quality
 from tidepanel.llm.chat import format_turns, read_back
 from tidepanel.llm.lineage import cut, read
 from tidepanel.llm.mixing import draw, prepare
+from tidepanel.llm.ngrams import score_all
 from tidepanel.llm.packing import pack
 from tidepanel.llm.sharding import assign
 from tidepanel.llm.simhash import near_duplicates
@@ -30,6 +31,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw(slim).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", taken.alias("taken"), "source", "_mix.copies")
 
 
+def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    out, model = score_all(read(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op7_consistent_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
