@@ -15,6 +15,7 @@ from tidepanel.llm.ngrams import score_all
 from tidepanel.llm.packing import pack
 from tidepanel.llm.sharding import assign
 from tidepanel.llm.simhash import near_duplicates
+from tidepanel.llm.substrings import repeated_passages
 
 
 def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw(slim).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", taken.alias("taken"), "source", "_mix.copies")
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_passages(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "first_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "source_id", "source_word")
+
+
 def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     out, model = score_all(read(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
