@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import quality
+from tidepanel.llm import itq, quality
 from tidepanel.llm.chat import format_turns, read_back
+from tidepanel.llm.graph import nearest
 from tidepanel.llm.lineage import cut, read
 from tidepanel.llm.mixing import draw, prepare
 from tidepanel.llm.ngrams import score_all
@@ -26,6 +27,11 @@ def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = cut(prepare(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text"))
     taken = F.col("_mix.size") * F.col("_mix.copies")
@@ -37,6 +43,10 @@ def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "first_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "source_id", "source_word")
 
 
+def op5_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     out, model = score_all(read(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
