@@ -164,7 +164,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of repeated rows of the kept id one stays. A row without an id stays only if its group has no id.
     """
-    marked = near_duplicates(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept"), "fp").distinct()
-    by_text = docs.withColumn("_copy", F.struct(F.xxhash64("text"), F.length("text")))
-    one = by_text.dropDuplicates(["doc_id", "_copy"]).drop("_copy")
-    return one.join(marked.select("_kept").distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(docs.columns)
+    marked = cut(near_duplicates(docs).where("doc_id = component_id OR component_id IS NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
+    kept = docs.join(marked.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    if marked.where("_rows > 1").isEmpty():
+        return kept
+    copy = F.struct(F.xxhash64("text"), F.length("text"))
+    return kept.withColumn("_copy", copy).dropDuplicates(["doc_id", "_copy"]).select(docs.columns)
