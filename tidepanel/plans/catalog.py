@@ -1,11 +1,13 @@
-"""Registry of queries and their SQL oracles."""
+"""All queries of the library and their SQL."""
 
 from __future__ import annotations
 
+from tidepanel.plans import evaluation, panels, registry  # noqa: F401  the modules register their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.SQL)
