@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.artifacts import artifact
 from tidepanel.functions.columns import micros
 from tidepanel.operators import conformal, grid, metrics, models, origins, splits
 
@@ -40,16 +41,19 @@ def roles(spark) -> DataFrame:
     return spark.createDataFrame([(i, "GSHP" if i % 3 == 0 else "ASHP", HELD.get(i, "train")) for i in range(12)], "household_id long, hp_type string, role string")
 
 
+@artifact
 def p6(spark, d) -> DataFrame:
     g = grid.regular_grid(readings(spark, d), common=True)
     return g.select("household_id", hp().alias("hp_type"), "step", (F.coalesce("cents", F.lit(0)) / 100.0).alias("y"), F.lit(0).alias("segment_id"), F.lit(0).alias("originally_missing"))
 
 
+@artifact
 def p1(spark, d) -> DataFrame:
     g = grid.regular_grid(readings(spark, d, 1))
     return g.select("household_id", hp().alias("hp_type"), "step", (F.col("cents") / 100.0).alias("y"))
 
 
+@artifact
 def filled(spark, d) -> DataFrame:
     return grid.visit_segments(grid.fill_short_gaps(p1(spark, d), 1), visits(spark, d, 1))
 
@@ -59,6 +63,7 @@ def weather(spark, d, hours: int = 6) -> DataFrame:
     return e.groupBy(F.floor(F.col("hour") / hours).alias("step")).agg((F.sum("cents") / F.count("*") / 100.0).alias("temperature"))
 
 
+@artifact
 def household_weather(spark, d) -> DataFrame:
     e = events(spark, d).where("event_type = 'view' AND hour % 2 = 0")
     return e.groupBy("household_id", F.col("hour").alias("step")).agg((F.sum("cents") / F.count("*") / 100.0).alias("temperature"))
@@ -70,10 +75,12 @@ def visits(spark, d, hours: int = 6) -> DataFrame:
     return e.withColumn("_r", nth).where("_r <= 2").drop("_r")
 
 
+@artifact
 def cutoffs(spark, d) -> DataFrame:
     return splits.cutoffs(p6(spark, d), start="step", end="step")
 
 
+@artifact
 def supervised(spark, d) -> DataFrame:
     """All supervised rows with their split; train and calibration paths end inside their time."""
     panel = grid.lagged(p6(spark, d).join(F.broadcast(weather(spark, d)), "step", "left"), "temperature", SEASON, "operational")
@@ -91,19 +98,23 @@ def predictions(spark, d) -> DataFrame:
     return models.baselines(rows, keep=("temperature_c", F.col("future__temperature").alias("evaluation_temperature_c")))
 
 
+@artifact
 def regimes(spark, d) -> DataFrame:
     p = predictions(spark, d)
     return conformal.with_regime(p, conformal.temperature_thresholds(p.where("split = 'calibration'"), 0.05))
 
 
+@artifact
 def corrections(spark, d) -> DataFrame:
     return conformal.corrections(regimes(spark, d).where("split = 'calibration'"), 0.2, LEAST)
 
 
+@artifact
 def calibrated(spark, d) -> DataFrame:
     return conformal.calibrate(regimes(spark, d), corrections(spark, d))
 
 
+@artifact
 def scales(spark, d) -> DataFrame:
     panel = p6(spark, d).crossJoin(F.broadcast(cutoffs(spark, d).select("train_end")))
     return metrics.seasonal_scales(panel, roles(spark), F.col("train_end"), SEASON, 8)

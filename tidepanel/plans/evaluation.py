@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.artifacts import artifact
 from tidepanel.functions.columns import crps, interval_score, lower_rank, pinball, rank_quantile, upper_rank, winkler
 from tidepanel.operators import conformal, inference, metrics, models, portfolio, reports
 from tidepanel.plans import base as b
@@ -223,6 +224,7 @@ def _pf(select: str) -> str:
     return b.sql(select, "roles", "cal", **_PF)
 
 
+@artifact
 def _sums(spark, d):
     return portfolio.aggregate(b.calibrated(spark, d).drop("hp_type"), members(spark), 0.9)
 
@@ -262,6 +264,7 @@ def oracle_consistency(spark, d):
     return _sums(spark, d).groupBy("portfolio_id", "origin", "horizon").agg(F.count_distinct(F.floor(F.col("y_true") * 1000 + 0.5)).alias("truths"))
 
 
+@artifact
 def _detail(spark, d):
     rows = _bounded(spark, d)
     return portfolio.manage_peaks(rows, portfolio.peak_thresholds(rows, 0.5), 4, [0.1, 0.2], [6, 12], 1 / 6)
@@ -374,6 +377,7 @@ _PAIRED = dict(
 _PAIRS = [("weekly", "daily"), ("daily", "persistence")]
 
 
+@artifact
 def _deltas(spark, d):
     c = b.calibrated(spark, d).where("split LIKE '%test'")
     return inference.paired(c, _PAIRS, ["split"], ["household_id", "origin", "target", "horizon"]).withColumn("day", F.floor(F.col("target") / 4))
