@@ -56,7 +56,7 @@ def test_planted_passages_are_found_and_clean_documents_left(spark):
     out = sub.repeated_passages(docs).collect()
     by = defaultdict(list)
     for x in out:
-        assert x.end_word - x.first_word >= sub.WORDS
+        assert x.end_word - x.first_word >= sub.WORDS and x.source_ids[0] == x.source_id
         by[x.doc_id].append(x)
     text_of = {i: re.findall(r"\S+", (t or "").lower()) for i, t, _ in rows}
     for k, ids in holds.items():
@@ -89,6 +89,15 @@ def test_a_passage_that_a_third_of_the_rows_share(spark):
     assert len({x.doc_id for x in out}) == 99 and all(x.doc_id % 3 == 0 and x.source_id % 3 == 0 for x in out)
 
 
+def test_all_sources_of_a_joined_passage_are_named(spark):
+    r = np.random.default_rng(6)
+    a, c = words(r, 120), words(r, 120)
+    mixed = " ".join(a[:100] + c[20:])
+    rows = [(i, t) for i, t in enumerate((" ".join(a), " ".join(c), mixed))]
+    out = sub.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {frozenset({x.doc_id, s}) for x in out for s in x.source_ids} == {frozenset({0, 2}), frozenset({1, 2})}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sub.repeated_passages(docs).count() == 0 and sub.without_repeats(docs).count() == 0

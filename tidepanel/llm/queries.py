@@ -40,7 +40,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_passages(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "first_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "source_id", "source_word")
+    return out.select("doc_id", "first_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "source_id", "source_word", "source_ids")
 
 
 def op5_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,10 +160,11 @@ def shared_passages(a: np.ndarray, b: np.ndarray, width: int = WIDTH, similar: f
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``doc_id``, ``key``, ``first_word``, ``end_word``, ``source_id``, ``source_word``): passages that an earlier document has.
+    """(``doc_id``, ``key``, ``first_word``, ``end_word``, ``source_id``, ``source_word``, ``source_ids``): passages that earlier documents have.
 
     Passages are of at least 50 words (A-Z lowered), with five-word shingles of a Jaccard similarity of 0.8
-    or more to the ``source``'s; overlapping ones are one. Of documents that share a passage the one with the
+    or more to a source's; overlapping ones are one. ``source_ids`` lists all sources found for it, the first
+    of them is ``source_id``, where the passage begins at ``source_word``. Of documents that share a passage the one with the
     least ``key`` (a hash of id and text) is earlier and keeps it, so every passage stays somewhere. Passages
     that only one document repeats don't count, nor do rows that are alike in id and text (they share a key).
     Null ids take part; null, empty and short texts have no passages; other columns are ignored.
@@ -208,12 +209,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     compared = pairs.join(sources, ["source", "block"]).join(members, "key").select("key", "doc", "codes", "source_id", "first", "theirs")
     parts = compared.mapInArrow(verify, f"doc_id {kind}, key long, first_word long, end_word long, source_id {kind}, source_word long")
-    spans = parts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set(F.struct("first_word", "end_word", "source_id", "source_word"))).alias("s"))
+    span = F.struct("first_word", "end_word", "source_id", "source_word", F.array("source_id").alias("source_ids"))
+    spans = parts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set(span)).alias("s"))
     joined = F.expr(
         """aggregate(s, array_repeat(s[0], 0), (got, x) ->
              IF(size(got) > 0 AND x.first_word <= element_at(got, -1).end_word,
                 concat(slice(got, 1, size(got) - 1), array(named_struct('first_word', element_at(got, -1).first_word, 'end_word', greatest(element_at(got, -1).end_word, x.end_word),
-                  'source_id', element_at(got, -1).source_id, 'source_word', element_at(got, -1).source_word))),
+                  'source_id', element_at(got, -1).source_id, 'source_word', element_at(got, -1).source_word, 'source_ids', array_union(element_at(got, -1).source_ids, x.source_ids)))),
                 concat(got, array(x))))"""
     )
     return spans.select("doc_id", "key", F.inline(joined))
