@@ -35,7 +35,7 @@ def raw(tmp_path_factory):
 
 SMALL = {
     "features": {"lag_steps": [1, 4], "rolling_steps": [4], "history_steps": 96, "forecast_steps": 8}, "split": {"unseen_household_fraction": 0.25, "validation_household_fraction": 0.125},
-    "sampling": {"max_eval_origins_per_household": 12}, "evaluation": {"report_horizons": [1, 4], "conformal_min_samples": 10, "bootstrap_repetitions": 20}, "portfolio": {"sizes": [2], "repetitions": 2, "shift_hours": [1]},
+    "sampling": {"max_eval_origins_per_household": 12}, "evaluation": {"report_horizons": [1, 4], "conformal_min_samples": 3, "bootstrap_repetitions": 20}, "portfolio": {"sizes": [2], "repetitions": 2, "shift_hours": [1]},
 }
 
 
