@@ -75,12 +75,22 @@ def lower_rank(n: Column, half: float) -> Column:
 def rank_quantile(df: DataFrame, groups: list[str], value: str, rank: Column, name: str) -> DataFrame:
     """One row per group: the ``value`` at ``rank`` (an expression of the group's row count ``n``), and ``n``.
 
-    Only the first and second count stages see all rows; the order statistic is picked by a window.
+    Exact without sorting a group: values are counted in narrow buckets, combined before the shuffle; prefix
+    sums find the bucket that holds the rank, and only its rows are ranked, if they differ at all. Null keys
+    are a group.
     """
-    w = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-    ranked = df.where(F.col(value).isNotNull()).select(*groups, value, F.row_number().over(w.orderBy(value)).alias("_nth"), F.count("*").over(w).alias("n"))
-    picked = ranked.where(F.col("_nth") == rank)
-    return picked.select(*groups, F.col(value).alias(name), "n")
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), F.floor(F.asinh(F.col(value) * 1e6) * 64).alias("_b"))
+    counts = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    w = Window.partitionBy(*(groups or [F.lit(1)]))
+    reached = counts.withColumns({"n": F.sum("_c").over(w), "_before": F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).withColumn("_rank", rank)
+    edge = reached.where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_c")))
+    alike = edge.where("_lo = _hi").select(*groups, F.col("_lo").alias(name), "n")
+    mixed = edge.where("_lo <> _hi").select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("_b").alias("_eb"), "n", (F.col("_rank") - F.col("_before")).alias("_need"))
+    same = F.col("_b") == F.col("_eb")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    inside = rows.join(mixed, same).withColumn("_nth", F.row_number().over(w.orderBy("_v"))).where("_nth = _need")
+    return alike.unionByName(inside.select(*groups, F.col("_v").alias(name), "n"))
 
 
 def thin(df: DataFrame, groups: list[str], order: list[str | Column], quota: Column | int) -> DataFrame:

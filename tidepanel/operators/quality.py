@@ -57,7 +57,7 @@ def protocol_checks(rows: DataFrame, roles: DataFrame, train_end: Column | float
     ``rows`` are supervised rows with ``split``, ``roles`` names each household's role.
     """
     role = F.col("role")
-    joined = rows.join(F.broadcast(roles), ID, "left")
+    joined = rows.join(roles, ID, "left")
     late = F.max("target")
     return joined.groupBy(ID, "split").agg(
         (F.count_if(F.col("target") - F.col("origin") != F.col("horizon")) == 0).alias("targets_follow_horizons"),

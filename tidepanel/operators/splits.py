@@ -23,11 +23,10 @@ def hold_out(households: DataFrame, fraction: float, seed: int, stratum: str = "
     order = Window.partitionBy(F.lit(1)).orderBy(F.col("_rest").desc(), "_s")
     spare = F.col("_total") - F.sum("_base").over(everything)
     sizes = sizes.withColumn("_quota", F.col("_base") + (F.row_number().over(order) <= spare).cast("long"))
-    named = households.withColumn("_s", F.coalesce(F.col(stratum), F.lit("unknown"))).join(F.broadcast(sizes), "_s")
-    key = [draw(seed, F.col(ID).cast("string")), F.col(ID)]
-    one = F.row_number().over(Window.partitionBy("_s").orderBy(*key)) <= F.col("_quota")
-    whole = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*key)) <= F.col("_total")
-    return named.withColumn("held", F.when(F.col("_split"), one).otherwise(whole)).select(*households.columns, "held")
+    named = households.withColumn("_s", F.coalesce(F.col(stratum), F.lit("unknown"))).join(sizes, "_s")
+    named = named.withColumns({"_part": F.when(F.col("_split"), F.col("_s")).otherwise(""), "_take": F.when(F.col("_split"), F.col("_quota")).otherwise(F.col("_total"))})
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(draw(seed, F.col(ID).cast("string")), ID))
+    return named.withColumn("held", nth <= F.col("_take")).select(*households.columns, "held")
 
 
 def stratified_split(households: DataFrame, test: float = 0.2, validation: float = 0.1, seed: int = 2026) -> DataFrame:

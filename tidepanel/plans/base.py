@@ -83,7 +83,7 @@ def cutoffs(spark, d) -> DataFrame:
 @artifact
 def supervised(spark, d) -> DataFrame:
     """All supervised rows with their split; train and calibration paths end inside their time."""
-    panel = grid.lagged(p6(spark, d).join(F.broadcast(weather(spark, d)), "step", "left"), "temperature", SEASON, "operational")
+    panel = grid.lagged(p6(spark, d).join(weather(spark, d), "step", "left"), "temperature", SEASON, "operational")
     panel = grid.causal_fill(panel, "temperature", "causal", 2)
     found = origins.valid_origins(origins.contained(panel, FORECAST), HISTORY, FORECAST)
     rows = origins.supervised(panel, found, HORIZONS, SEASON, WEEK, keep=("path_end", "causal"), future=("temperature", "operational"))

@@ -178,7 +178,7 @@ def weather_interpolate(spark, d):
 
 @query("household_id:i step:i operational:d causal:d", b.sql("SELECT household_id, step, operational, causal FROM pos", "pos"))
 def weather_operational(spark, d):
-    panel = b.p6(spark, d).join(F.broadcast(b.weather(spark, d)), "step", "left")
+    panel = b.p6(spark, d).join(b.weather(spark, d), "step", "left")
     return grid.causal_fill(grid.lagged(panel, "temperature", b.SEASON, "operational"), "temperature", "causal", 2)
 
 

@@ -77,11 +77,11 @@ class Run:
         def make() -> DataFrame:
             f = self.config["features"]
             eligible = self.audit().where("eligible").select("household_id", "hp_type")
-            base = self.meters.select("household_id", "step", "y").join(F.broadcast(eligible), "household_id", "left_semi")
+            base = self.meters.select("household_id", "step", "y").join(eligible, "household_id", "left_semi")
             panel = grid.fill_short_gaps(grid.regular_grid(base), self.config["data"]["short_gap_steps"])
             panel = grid.interpolate_onto(panel, self.weather, "temperature", 3)
             panel = grid.causal_fill(grid.lagged(panel, "temperature", f["forecast_steps"], "operational"), "temperature", "causal", 4)
-            panel = grid.visit_segments(panel, self.visits).join(F.broadcast(eligible), "household_id")
+            panel = grid.visit_segments(panel, self.visits).join(eligible, "household_id")
             panel = features.load_features(panel, f["lag_steps"], f["rolling_steps"], min(96, f["history_steps"]), f["on_threshold"])
             panel = panel.withColumn("ts", F.timestamp_micros(F.col("step") * QUARTER).cast("timestamp_ntz"))
             return features.calendar(panel, "ts", self.config["data"]["timezone"], self.holidays).drop("ts")
@@ -104,7 +104,7 @@ class Run:
             f, s = self.config["features"], self.config["sampling"]
             panel = origins.contained(self.panels(), f["forecast_steps"])
             found = origins.valid_origins(panel, f["history_steps"], f["forecast_steps"])
-            found = found.join(F.broadcast(self.split().select("household_id", "role")), "household_id").crossJoin(F.broadcast(self.ends()))
+            found = found.join(self.split().select("household_id", "role"), "household_id").crossJoin(F.broadcast(self.ends()))
             found = found.withColumn("split", splits.split_label(F.col("step"), F.col("train_end"), F.col("calibration_end"), F.col("role")))
             late = F.when(F.col("split") == "train", F.col("path_end") > F.col("train_end")).when(F.col("split") == "calibration", F.col("path_end") > F.col("calibration_end")).otherwise(False)
             found = found.where(~late).withColumn("local", F.convert_timezone(F.lit("UTC"), F.lit(self.config["data"]["timezone"]), F.timestamp_micros(F.col("step") * QUARTER).cast("timestamp_ntz")))
