@@ -68,6 +68,26 @@ def capped_sample(df: DataFrame, stratum: str, per_stratum: int, overall: int, s
     return kept.orderBy("_k", *keys).limit(overall).drop("_k")
 
 
+def model_sample(df: DataFrame, split: str, per_household: int, per_stratum: int, overall: int, seed: int, keys: list[str], stratum: str = "horizon") -> DataFrame:
+    """One split's rows: capped per household, then per stratum, then in all. Raises if the split is empty."""
+    rows = df.where(F.col("split") == split)
+    if rows.isEmpty():
+        raise ValueError(f"no rows in split {split}")
+    w = Window.partitionBy(ID).orderBy(draw(seed, *(F.col(k).cast("string") for k in keys)), *keys)
+    kept = rows.withColumn("_h", F.row_number().over(w)).where(f"_h <= {per_household}").drop("_h")
+    return capped_sample(kept, stratum, per_stratum, overall, seed, keys)
+
+
+def explanation_sample(df: DataFrame, per_household: int, per_type: int, seed: int, keys: list[str]) -> DataFrame:
+    """Test rows capped per household and then per type, in the order of a hash."""
+    k = draw(seed, *(F.col(c).cast("string") for c in keys))
+    rows = df.where(F.col("split").isin("seen_test", "unseen_test")).withColumn("_k", k)
+    for group, most in ((ID, per_household), ("hp_type", per_type)):
+        w = Window.partitionBy(group).orderBy("_k", *keys)
+        rows = rows.withColumn("_r", F.row_number().over(w)).where(f"_r <= {most}").drop("_r")
+    return rows.drop("_k")
+
+
 def sample_portfolios(households: DataFrame, sizes: list[int], repetitions: int, seed: int = 2026, types=("ASHP", "GSHP", "mixed")) -> DataFrame:
     """(``portfolio_id``, ``cohort``, ``portfolio_type``, ``portfolio_size``, ``repetition``, household): draws without replacement.
 

@@ -58,17 +58,21 @@ def _line(spark, d):
     return b.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / 1000).alias("y_true"), F.col("l_quantity").alias("q10"), (F.col("l_quantity") * 1.2).alias("q50"), (F.col("l_quantity") * 1.5).alias("q90"))
 
 
-@query("flag:s q10:d q50:d q90:d crps:d", f"SELECT flag, {_L10} AS q10, {_L50} AS q50, {_L90} AS q90, 0.4::DOUBLE * {_L10} + 0.8::DOUBLE * {_L50} + 0.4::DOUBLE * {_L90} AS crps FROM (SELECT l_returnflag AS flag, {_LI} FROM lineitem) GROUP BY 1")
+@query("flag:s q10:d q50:d q90:d crps:d", f"SELECT flag, {_L10} AS q10, {_L50} AS q50, {_L90} AS q90, 0.4::DOUBLE * {_L10} + 0.8::DOUBLE * {_L50} + 0.4::DOUBLE * {_L90} AS crps FROM (SELECT l_returnflag AS flag, {_LI} FROM lineitem) GROUP BY 1", name="pinball")
 def pinball_losses(spark, d):
     y = F.col("y_true")
     a = [F.avg(pinball(y, F.col(q), t)) for q, t in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))]
     return _line(spark, d).groupBy("flag").agg(a[0].alias("q10"), a[1].alias("q50"), a[2].alias("q90"), crps(*a).alias("crps"))
 
 
-@query("flag:s winkler:d wis:d", f"SELECT flag, avg({_wink()}) AS winkler, avg({_WIS}) AS wis FROM (SELECT l_returnflag AS flag, {_LI} FROM lineitem) GROUP BY 1")
-def interval_scores(spark, d):
-    c = [F.col(x) for x in ("y_true", "q50", "q10", "q90")]
-    return _line(spark, d).groupBy("flag").agg(F.avg(winkler(c[0], c[2], c[3])).alias("winkler"), F.avg(interval_score(*c)).alias("wis"))
+@query("flag:s winkler:d", f"SELECT flag, avg({_wink()}) AS winkler FROM (SELECT l_returnflag AS flag, {_LI} FROM lineitem) GROUP BY 1", name="winkler")
+def winkler_score(spark, d):
+    return _line(spark, d).groupBy("flag").agg(F.avg(winkler(F.col("y_true"), F.col("q10"), F.col("q90"))).alias("winkler"))
+
+
+@query("flag:s wis:d", f"SELECT flag, avg({_WIS}) AS wis FROM (SELECT l_returnflag AS flag, {_LI} FROM lineitem) GROUP BY 1", name="wis")
+def weighted_interval_score(spark, d):
+    return _line(spark, d).groupBy("flag").agg(F.avg(interval_score(F.col("y_true"), F.col("q50"), F.col("q10"), F.col("q90"))).alias("wis"))
 
 
 _RATES = "tp / greatest(tp + fp, 1) AS precision, tp / greatest(tp + fn, 1) AS recall, 2 * (tp / greatest(tp + fp, 1)) * (tp / greatest(tp + fn, 1)) / greatest(tp / greatest(tp + fp, 1) + tp / greatest(tp + fn, 1), 1e-12) AS f1, fp / greatest(fp + tn, 1) AS false_alarm_rate"
@@ -309,7 +313,7 @@ def valid_pairs(spark, d):
 
 
 @query("portfolio_type:s n_origins:i portfolios:i missed_events_per_100:d", _pf(f"SELECT portfolio_type, count(*) AS n_origins, count(DISTINCT portfolio_id) AS portfolios, 100.0 * count(*) FILTER (actual_peak_event) / count(*) AS missed_events_per_100 FROM ({_NOFORECAST}) JOIN (SELECT DISTINCT portfolio_id, portfolio_type FROM members) USING (portfolio_id) GROUP BY 1"))
-def portfolio_report(spark, d):
+def portfolio_report_aggregate(spark, d):
     return reports.portfolio_report(portfolio.summarise(_detail(spark, d).where("strategy = 'reference_no_forecast'")), ["portfolio_type"])
 
 
@@ -319,6 +323,37 @@ def table_portfolio(spark, d):
     return out.withColumn("label", reports.label(F.col("strategy")))
 
 
+@query("portfolio_id:s model:s origin:i shift_hours:i shifted_energy:d interventions:i rejected_interventions:i energy_balance_error:d")
+def shift_profile(spark, d):
+    """The scheduling kernel's outcome per trajectory, for one fraction and the median signal."""
+    return _detail(spark, d).where("strategy = 'median' AND flexible_fraction = 0.2")
+
+
+@query("stage:s rows:i", _pf("SELECT 'members' AS stage, count(*) AS rows FROM members UNION ALL SELECT 'aggregates', count(*) FROM sums UNION ALL SELECT 'corrections', count(*) FROM bounds UNION ALL SELECT 'thresholds', count(*) FROM limits"))
+def portfolio_pipeline(spark, d):
+    """Membership, aggregation, calibration and thresholds as one chain: rows of each stage."""
+    s = _sums(spark, d)
+    stages = {"members": members(spark), "aggregates": s, "corrections": portfolio.residual_bounds(s, 0.2, 10), "thresholds": portfolio.peak_thresholds(s, 0.5)}
+    out = None
+    for name, df in stages.items():
+        part = df.agg(F.count("*").alias("rows")).withColumn("stage", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_GATES = {
+    "intervals_ordered": "q10 <= q50 AND q50 <= q90", "intervals_never_narrower": "q10 <= q10_raw AND q90 >= q90_raw", "bounds_not_negative": "q10 >= 0", "corrections_not_negative": "conformal_correction >= 0",
+    "targets_follow_horizons": "target - origin = horizon", "levels_named": "conformal_level IS NOT NULL",
+}
+
+
+@query("gate:s failures:i passed:b", b.sql("SELECT gate, failures, failures = 0 AS passed FROM (" + " UNION ALL ".join(f"SELECT '{g}' AS gate, count(*) FILTER (NOT ({c})) AS failures FROM cal" for g, c in _GATES.items()) + ")", "cal"))
+def validation_report(spark, d):
+    counts = b.calibrated(spark, d).agg(*(F.count_if(~F.expr(c)).alias(g) for g, c in _GATES.items()))
+    long = F.inline(F.array(*(F.struct(F.lit(g).alias("gate"), F.col(g).alias("failures")) for g in _GATES)))
+    return counts.select(long).withColumn("passed", F.col("failures") == 0)
+
+
 # ---- inference ----
 
 _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
@@ -399,7 +434,7 @@ _HOLM_OUT = "SELECT split, candidate, comparator, mae_delta, holm_p_value, holm_
 
 
 @query("split:s candidate:s comparator:s holm_p_value:d significant_holm:b confirmatory_holm:b effect_direction:s", b.sql(_HOLM_OUT, "cal", **_PAIRED))
-def holm(spark, d):
+def holm_adjust(spark, d):
     return inference.holm(_tests(spark, d))
 
 
@@ -534,7 +569,7 @@ def id_composition(spark, d):
 
 
 @query("hp_type:s feature:s importance:d", "SELECT hp_type, feature, avg(abs(c)) AS importance FROM (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 'GSHP' ELSE 'ASHP' END AS hp_type, unnest(['tax', 'discount', 'quantity']) AS feature, unnest([l_tax, l_discount - 0.05::DOUBLE, l_quantity / 100]) AS c FROM lineitem) GROUP BY 1, 2")
-def importance_rank(spark, d):
+def shap_rank(spark, d):
     return _contributions(spark, d).groupBy("hp_type", "feature").agg(F.avg(F.abs("contribution")).alias("importance"))
 
 

@@ -436,12 +436,42 @@ def stratified_row_sample(spark, d):
 
 
 @query("custkey:i nation:d segment:d acctbal:d", "SELECT c.c_custkey AS custkey, coalesce(CAST(c_nationkey AS DOUBLE), 0) AS nation, coalesce(k.code, -1) AS segment, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, (SELECT median(CASE WHEN c_acctbal > 0 THEN c_acctbal END) FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment <> 'MACHINERY')) AS acctbal FROM customer c LEFT JOIN (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_custkey % 2 = 0 AND c_mktsegment <> 'MACHINERY')) k ON k.c_mktsegment = c.c_mktsegment")
-def tabular_encoder(spark, d):
+def tabular_encoder_transform(spark, d):
     c = b.table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("acctbal"))
     fitted = encode.TabularEncoder.fit(c.where("custkey % 2 = 0 AND segment <> 'MACHINERY'"), ["nation", "segment", "acctbal"])
     return fitted.transform(c, ["custkey"])
 
 
+@query("name:s code:d", "SELECT * FROM (SELECT c_mktsegment AS name, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)) UNION ALL SELECT 'acctbal', median(c_acctbal) FROM customer")
+def tabular_encoder_fit(spark, d):
+    c = b.table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("acctbal"))
+    fitted = encode.TabularEncoder.fit(c, ["segment", "acctbal"])
+    return fitted.categories["segment"].toDF("name", "code").unionByName(spark.createDataFrame([("acctbal", fitted.medians["acctbal"])], "name string, code double"))
+
+
+def _keyed_draw(seed: int) -> str:
+    return _DRAW.format(f"'{seed}:' || household_id || ':' || origin || ':' || horizon")
+
+
+_KEYS = ["household_id", "origin", "horizon"]
+
+
+@query("household_id:i origin:i horizon:i", b.sql(f"SELECT household_id, origin, horizon FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY k, household_id, origin, horizon) AS r FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY k, household_id, origin, horizon) AS h FROM (SELECT *, {_keyed_draw(9)} AS k FROM sup WHERE split = 'calibration')) WHERE h <= 40) WHERE r <= 80 ORDER BY k, household_id, origin, horizon LIMIT 250", "sup"))
+def model_samples(spark, d):
+    return splits.model_sample(b.supervised(spark, d), "calibration", 40, 80, 250, 9, _KEYS)
+
+
+@query("household_id:i origin:i horizon:i hp_type:s", b.sql(f"SELECT household_id, origin, horizon, hp_type FROM (SELECT *, row_number() OVER (PARTITION BY hp_type ORDER BY k, household_id, origin, horizon) AS r FROM (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY k, household_id, origin, horizon) AS h FROM (SELECT *, {_keyed_draw(5)} AS k FROM sup WHERE split LIKE '%seen_test')) WHERE h <= 30) WHERE r <= 100", "sup"))
+def shap_sample(spark, d):
+    return splits.explanation_sample(b.supervised(spark, d), 30, 100, 5, _KEYS)
+
+
+@query("columns:s chosen:s", "SELECT * FROM (VALUES ('Timestamp,Temperature_mean_hourly', 'Temperature_mean_hourly'), ('a,Air_Temperature_hourly', 'Air_Temperature_hourly'), ('Temperature_dew_hourly,Temperature_min_hourly', NULL)) AS t (columns, chosen)")
+def infer_temperature(spark, d):
+    cases = ["Timestamp,Temperature_mean_hourly", "a,Air_Temperature_hourly", "Temperature_dew_hourly,Temperature_min_hourly"]
+    return spark.createDataFrame([(c, features.temperature_column(c.split(","))) for c in cases], "columns string, chosen string")
+
+
 @query("custkey:i acctbal:d", "SELECT c_custkey AS custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, (SELECT median(CASE WHEN c_acctbal > 0 THEN c_acctbal END) FROM customer WHERE c_custkey % 2 = 0)) AS acctbal FROM customer WHERE c_custkey % 2 = 1")
 def tft_harmonize(spark, d):
     c = b.table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("acctbal"), F.lit(None).cast("double").alias("never"))

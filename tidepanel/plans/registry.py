@@ -12,8 +12,8 @@ QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
-def query(columns: str, sql: str | None = None):
-    """Registers a function as a query with these result columns, its SQL beside it.
+def query(columns: str, sql: str | None = None, name: str | None = None):
+    """Registers a function as a query (under ``name``, its own by default) with these result columns, its SQL beside it.
 
     ``columns``: names with a kind each, ``i`` whole number (long), ``d`` double (rounded to six decimals in both
     engines), ``s`` text, ``b`` boolean.
@@ -23,9 +23,9 @@ def query(columns: str, sql: str | None = None):
     sql_column = {"i": "CAST({0} AS BIGINT) AS {0}", "d": "floor(CAST({0} AS DOUBLE) * 1000000.0 + 0.5) / 1000000.0 AS {0}", "s": "CAST({0} AS VARCHAR) AS {0}", "b": "{0}"}
 
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, d: f(spark, d).select(*(spark_column[k](c) for c, k in kinds))
+        QUERIES[name or f.__name__] = lambda spark, d: f(spark, d).select(*(spark_column[k](c) for c, k in kinds))
         if sql:
-            SQL[f.__name__] = f"SELECT {', '.join(sql_column[k].format(c) for c, k in kinds)} FROM ({sql}) AS result"
+            SQL[name or f.__name__] = f"SELECT {', '.join(sql_column[k].format(c) for c, k in kinds)} FROM ({sql}) AS result"
         return f
 
     return add
