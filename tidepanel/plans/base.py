@@ -200,6 +200,3 @@ def sql(select: str, *names: str, **more: str) -> str:
     parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"{n} AS ({q})" for n, q in more.items()]
     return (f"WITH {', '.join(parts)} " if parts else "") + select
 
-
-def r6(x: str) -> str:
-    return f"floor(({x}) * 1000000.0::DOUBLE + 0.5) / 1000000.0::DOUBLE"

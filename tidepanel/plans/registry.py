@@ -20,7 +20,7 @@ def query(columns: str, sql: str | None = None, name: str | None = None):
     """
     kinds = [c.split(":") for c in columns.split()]
     spark_column = {"i": lambda c: F.col(c).cast("long").alias(c), "d": lambda c: rounded(F.col(c).cast("double")).alias(c), "s": lambda c: F.col(c).cast("string").alias(c), "b": lambda c: F.col(c)}
-    sql_column = {"i": "CAST({0} AS BIGINT) AS {0}", "d": "floor(CAST({0} AS DOUBLE) * 1000000.0 + 0.5) / 1000000.0 AS {0}", "s": "CAST({0} AS VARCHAR) AS {0}", "b": "{0}"}
+    sql_column = {"i": "CAST({0} AS BIGINT) AS {0}", "d": "floor(CAST({0} AS DOUBLE) * 1000000.0 + 0.37) / 1000000.0 AS {0}", "s": "CAST({0} AS VARCHAR) AS {0}", "b": "{0}"}
 
     def add(f: Callable) -> Callable:
         QUERIES[name or f.__name__] = lambda spark, d: f(spark, d).select(*(spark_column[k](c) for c, k in kinds))
