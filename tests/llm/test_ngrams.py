@@ -14,35 +14,29 @@ def words(text):
 
 
 class Slow:
-    """The same model by definition: counts, pruning, interpolation; states by trying the longest context."""
+    """The same model by definition: counts of all n-grams and the interpolation formula."""
 
-    def __init__(self, texts, contexts):
+    def __init__(self, texts):
         seqs = [words(t) for t in texts]
         self.c = Counter(w for s in seqs for w in s)
         self.n = sum(self.c.values())
         n1, n2 = (sum(v == k for v in self.c.values()) for k in (1, 2))
         self.d = n1 / (n1 + 2 * n2) if n1 and n2 else ngrams.DISCOUNT
-        in_ = set(contexts)
-        two = Counter(p for s in seqs for p in zip([None, *s], s) if p[0] in in_ and p[1] in in_)
-        self.two = {k: v for k, v in two.items() if v > 1}
-        three = Counter(t for s in seqs for t in zip([None, *s], s, s[1:]) if t[:2] in self.two and t[1:] in self.two)
-        self.three = {k: v for k, v in three.items() if v > 1}
+        self.two = Counter(p for s in seqs for p in zip([None, *s], s))
+        self.three = Counter(t for s in seqs for t in zip([None, *s], s, s[1:]))
 
     def p1(self, w):
         return (self.c[w] - self.d if w in self.c else self.d * len(self.c)) / self.n
 
-    def _level(self, grams, context, size, w, lower):
-        if not any(k[:-1] == context for k in grams):
-            return lower
-        seen = {k[-1]: (v - ngrams.DISCOUNT) / size for k, v in grams.items() if k[:-1] == context}
-        return seen.get(w, 0) + (1 - sum(seen.values())) * lower
+    def p2(self, v, w):
+        return (self.two[v, w] + ngrams.PRIORS[1] * self.p1(w)) / (self.c[v] + ngrams.PRIORS[1])
 
     def score(self, text):
         total, u, v = 0.0, None, None
         for i, w in enumerate(words(text)):
-            p = self._level(self.two, (v,), self.c[v], w, self.p1(w))
+            p = self.p2(v, w)
             if i:
-                p = self._level(self.three, (u, v), self.two.get((u, v)), w, p)
+                p = (self.three[u, v, w] + ngrams.PRIORS[2] * p) / (self.two[u, v] + ngrams.PRIORS[2])
             total += log10(p)
             u, v = v, w
         return total
@@ -62,24 +56,37 @@ def test_scores_match_the_definition(spark, monkeypatch):
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(7, "the end of it", 2), (None, "w1 w2", 3)]
     held = {r[0] for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2}
     train = [t for i, t, _ in rows if i not in held]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
-    from pyspark.sql import functions as F
-
-    out, model = ngrams.score_all(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, words=30, contexts=25)
-    assert 10 < len(model.words) <= 31 and len(model.fail) > 12 and (model.fail > 0).any()
-    c = Counter(w for t in train for w in words(t))
-    hashes = {w: ngrams.tokens(np.frombuffer((w or "").encode(), dtype=np.uint8), np.array([0, len((w or "").encode())]))[0][0] for w in c}
-    number = {w: int(model.number(np.array([h]))[0]) for w, h in hashes.items()}
-    order = np.argsort(-model.counts, kind="stable")[:25].tolist()
-    slow = Slow(train, [w for w in c if number[w] in order] + [None])
-    assert model.total == sum(c.values()) and model.distinct == len(c)
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in out.collect())
+    slow = Slow(train)
+    c = slow.c
     want = []
     for i, t, _ in rows:
         s = words(t)
-        want.append((i if i is not None else -1, len(s), sum(w in c for w in s), round(sum(log10((c[w] + 1) / (model.total + len(c) + 1)) for w in s), 6), round(slow.score(t), 6)))
-    for g, w in zip(got, sorted(want)):
-        assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-5 and abs(g[4] - w[4]) < 1e-5
+        want.append((i if i is not None else -1, len(s), sum(w in c for w in s), round(sum(log10((c[w] + 1) / (slow.n + len(c) + 1)) for w in s), 6), round(slow.score(t), 6)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    from pyspark.sql import functions as F
+
+    for sizes in ({}, {"part": 2000, "span": 200}):  # one part and range, and many
+        out, model = ngrams.score_all(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, **sizes)
+        assert model.total == slow.n and model.distinct == len(c)
+        got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in out.collect())
+        for g, w in zip(got, sorted(want), strict=True):
+            assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-5 and abs(g[4] - w[4]) < 1e-5
+
+
+def test_probabilities_sum_to_one():
+    slow = Slow(corpus())
+    for v in (None, "w1", "odd"):
+        context = slow.c[v]
+        if v is None or context:
+            assert abs(sum(slow.p2(v, w) for w in [*slow.c, "\0unknown"]) - 1) < 1e-9
+
+
+def test_keys_survive_packing():
+    for keys in ([], [0], [5, 7, 2**39], [1, 2**52]):
+        k = np.array(keys, np.uint64)
+        assert (ngrams._unpack_keys(ngrams._pack_keys(k)) == k).all()
+    n = np.array([0, 1, 300, 2**40])
+    assert (ngrams._from_planes(ngrams._planes(n)) == n).all()
 
 
 def test_empty_tables(spark):

@@ -1,15 +1,16 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Words of the training rows are counted in full, and n-grams up to order three over the most frequent words.
-The kept n-grams, smoothed by absolute discounting with interpolation, become an automaton: a state is a
-context of none, one or two words, an arc a word with the log-probability it has there, and each state has
-a failure arc, weighted by what it leaves to shorter contexts. A text is scored in one traversal from left to
-right that carries the state; the texts of a batch move in step.
-
-Sizes: the automaton is sent to all workers and bounded by parameters (words, bigrams, trigrams). Words
-outside its dictionary are no context; their exact counts are joined to their occurrences by a shuffle, and
-their probability is added to the text's sum, so every word counts with its count over the whole corpus.
-Words the training rows don't have share one unknown word's probability, as in the base score.
+All n-grams of the training rows up to order three are counted and smoothed, each by its context's shorter
+one: p(w | t u) = (c(t u w) + PRIOR p(w | u)) / (c(t u) + PRIOR). A state is a context of none, one or two
+words, an arc a seen word with its log-probability there, and each state has a failure arc that weighs
+PRIOR / (c + PRIOR). A text is scored in one traversal from left to right that carries the state.
+
+The automaton of a corpus grows with it, so no worker holds it whole. Texts are grouped into parts of bounded
+size. A part sends the keys of its distinct n-grams, in sorted blobs by ranges of the key space; each range
+adds up the parts' counts and answers every part in its order. With these counts over the whole corpus a part
+builds exactly the states and arcs that its own texts can reach, which gives the same scores as the whole
+automaton. Nothing is pruned, capped or broadcast: the number of parts and of ranges follows the corpus.
+Keys are 56-bit hashes. Words the training rows lack share one unknown word's probability, as in the base score.
 """
 
 from __future__ import annotations
@@ -19,21 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.lineage import written
-from tidepanel.llm.words import chunks, find_words, span_hashes, text_bytes
+from tidepanel.llm.words import chunks, find_words, mix, span_hashes, text_bytes
 
-WORDS = 1 << 19
-CONTEXTS = 1 << 12  # most frequent words that n-grams are made of
-NGRAMS = 1 << 19  # of each order
-DISCOUNT = 0.75
+PART = 20 << 20  # bytes of text, on average
+RANGE = 1 << 20  # n-grams, repeats included, of a range of keys, on average
+DISCOUNT = 0.75  # of words, if it can't be estimated
+PRIORS = (0.0, 8.0, 4.0)  # weight of the shorter context, by the context's length
 SEGMENT = 2048  # tokens; longer texts move on in segments, each entered in its true state
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
-_BITS = 20
-
+_KEY_BITS = 56
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's words and its end, and the bounds of the texts."""
@@ -88,50 +86,91 @@ def _counted(texts: DataFrame, keys_of) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _frequent(counts: DataFrame, most: int, least: int = 1) -> DataFrame:
-    """The rows of the highest counts, ``most`` of them or somewhat fewer: whole steps of a sixteenth of an octave."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    total, edge = 0, None
-    for r in sorted(counts.where(F.col("n") >= least).groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.step):
-        total += r.rows
-        if total > most:
-            break
-        edge = r.step
-    return counts.where((F.col("n") >= least) & (step >= (edge if edge is not None else 1 << 30)))
+@dataclass
+class Corpus:
+    """What all scores need of the training words."""
+
+    total: int  # tokens
+    distinct: int
+    discount: float
+
+    def log_word(self, counts: np.ndarray) -> np.ndarray:
+        """Log-probabilities of words by their counts; a count of zero is the unknown word."""
+        if not self.total:
+            return np.zeros(len(counts))
+        return np.log10(np.where(counts > 0, counts - self.discount, max(self.discount * self.distinct, 1e-9)) / self.total)
+
+    def log_base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10(counts + 1.0) - np.log10(self.total + self.distinct + 1)
 
 
-def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = df.select("key", "n").toArrow().sort_by("key")
-    return table.column(0).to_numpy(), table.column(1).to_numpy()
+def train(texts: DataFrame) -> Corpus:
+    """Totals over the words of ``texts`` (one column); each word's count is exact."""
+    words = _counted(texts, lambda hashes, bounds: hashes.view(np.int64))
+    n, kinds, singles, doubles = words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    return Corpus(int(n or 0), int(kinds), singles / (singles + 2 * doubles) if singles and doubles else DISCOUNT)
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams of some texts, by order (0: words), and which one ends at each token."""
+
+    bounds: np.ndarray
+    kinds: list[np.ndarray]  # key of each distinct n-gram
+    at: list[np.ndarray]  # number of the n-gram that ends at a token, -1 where there is none
+    heads: list[np.ndarray]  # for pairs the first word, for triples the first pair
+    tails: list[np.ndarray]  # the last word
+
+    def keys(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """All keys, sorted and distinct, and the places of each order's among them."""
+        every, where = np.unique(np.concatenate(self.kinds), return_inverse=True)
+        return every, np.split(where, np.cumsum([len(k) for k in self.kinds])[:-1])
+
+
+def grams(column: pa.Array) -> Grams:
+    """N-grams of whole texts; the end stands before the first word too, alone."""
+    data, offsets = text_bytes(column)
+    hashes, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in chunks(offsets):
+        h, at = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        hashes.append(h)
+        bounds.append(at[1:] + bounds[-1][-1])
+    h, bounds = np.concatenate(hashes), np.concatenate(bounds)
+    words, number = np.unique(h, return_inverse=True)
+    first = np.zeros(len(h), dtype=bool)
+    first[bounds[:-1]] = True
+    before = np.roll(number, 1)
+    before[first] = np.searchsorted(words, END)
+    pairs, pair = np.unique(before * len(words) + number, return_inverse=True)
+    inside = np.flatnonzero(~first)
+    triples, which = np.unique(pair[inside - 1] * len(words) + number[inside], return_inverse=True)
+    triple = np.full(len(h), -1)
+    triple[inside] = which
+    heads, tails = [np.zeros(0, np.int64)], [np.arange(len(words))]
+    kinds = [mix(words, 1)]
+    for longer in (pairs, triples):
+        heads.append(longer // max(len(words), 1))
+        tails.append(longer % max(len(words), 1))
+        with np.errstate(over="ignore"):
+            kinds.append(mix(kinds[-1][heads[-1]] * np.uint64(0xD1342543DE82EF95) + words[tails[-1]], len(kinds) + 1))
+    return Grams(bounds, [k >> np.uint64(64 - _KEY_BITS) for k in kinds], [number, pair, triple], heads, tails)
 
 
 @dataclass
 class Automaton:
-    words: np.ndarray  # sorted hashes; a word's number is its place
-    counts: np.ndarray
-    total: int  # training tokens
-    distinct: int
-    discount: float
-    arcs: np.ndarray  # sorted state << 20 | word
+    """States 0 (root), then words seen before others, then pairs; arcs sorted by ``state * words + word``."""
+
+    words: int
+    logp: np.ndarray  # of words in the root
+    home: np.ndarray  # the state that a word alone leads to
+    arcs: np.ndarray
     arc_logp: np.ndarray
     arc_next: np.ndarray
     fail: np.ndarray
     fail_logp: np.ndarray
-    home: np.ndarray  # the state that a word alone leads to
-
-    def log_unknown(self) -> float:
-        return float(np.log10(max(self.discount * self.distinct, 1e-9) / max(self.total, 1))) if self.distinct else 0.0
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the words, -1 outside the dictionary."""
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at, -1)
 
-    def traverse(self, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Sums of log10 probabilities per text, without those of words outside the dictionary after a failure to the root."""
-        logp1 = np.where(self.counts > 0, np.log10(np.maximum(self.counts - self.discount, 1e-9) / max(self.total, 1)), self.log_unknown())
-        end = int(np.searchsorted(self.words, END))
+    def traverse(self, numbers: np.ndarray, bounds: np.ndarray, end: int) -> np.ndarray:
+        """Sums of log10 probabilities per text; the texts move in step."""
         size = np.diff(bounds)
         parts = np.maximum(-(-size // SEGMENT), 1)
         doc = np.repeat(np.arange(len(size)), parts)
@@ -141,29 +180,26 @@ class Automaton:
         order = np.argsort(-length, kind="stable")
         doc, nth, begin, length = doc[order], nth[order], begin[order], length[order]
         state = np.full(len(doc), self.home[end])
+        rows = np.flatnonzero(nth > 0)
+        state[rows] = 0
         for back in (2, 1):  # the state depends on the last two words alone
-            rows = np.flatnonzero(nth > 0)
-            if back == 2:
-                state[rows] = 0
-            state[rows], _ = self._step(state[rows], numbers[begin[rows] - back], logp1)
+            state[rows], _ = self._step(state[rows], numbers[begin[rows] - back])
         out = np.zeros(len(doc))
         active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
         for t, n in enumerate(active.tolist()):
-            state[:n], logp = self._step(state[:n], numbers[begin[:n] + t], logp1)
+            state[:n], logp = self._step(state[:n], numbers[begin[:n] + t])
             out[:n] += logp
         return np.bincount(doc, weights=out, minlength=len(size))
 
-    def _step(self, state: np.ndarray, word: np.ndarray, logp1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known = word >= 0
-        logp = np.where(known, logp1[word], 0.0)
-        after = np.where(known, self.home[word], 0)
+    def _step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        logp, after = self.logp[word], self.home[word]
         rows = np.flatnonzero(state)
         at_state, spent = state[rows], np.zeros(len(rows))
         while len(rows):
-            key = (at_state << _BITS) | np.maximum(word[rows], 0)
+            key = at_state * self.words + word[rows]
             at = np.searchsorted(self.arcs, key)
             at[at == len(self.arcs)] = 0
-            hit = (self.arcs[at] == key) & known[rows]
+            hit = self.arcs[at] == key
             logp[rows[hit]] = spent[hit] + self.arc_logp[at[hit]]
             after[rows[hit]] = self.arc_next[at[hit]]
             rows, spent, at_state = rows[~hit], spent[~hit] + self.fail_logp[at_state[~hit]], self.fail[at_state[~hit]]
@@ -173,159 +209,137 @@ class Automaton:
         return after, logp
 
 
-def _look(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted array, -1 where absent."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def build(words, counts, total, distinct, singles, doubles, pairs, pair_counts, triples, triple_counts) -> Automaton:
-    """The automaton of the kept n-grams.
-
-    ``pairs``: first << 20 | second, by word number; ``triples``: place of the first two in ``pairs`` << 20 |
-    third. Every triple's last two words are a kept pair.
-    """
-    discount = singles / (singles + 2 * doubles) if singles and doubles else DISCOUNT
-    p1 = np.maximum(counts - discount, 0) / max(total, 1)
-    low = (1 << _BITS) - 1
-    first, second = pairs >> _BITS, pairs & low
-    seen = (pair_counts - DISCOUNT) / counts[first] if len(pairs) else np.zeros(0)
-    left1 = np.maximum(1 - np.bincount(first, weights=seen, minlength=len(words)), 1e-12)
-    p2 = seen + left1[first] * p1[second] if len(pairs) else np.zeros(0)
-    base, third = triples >> _BITS, triples & low
-    seen3 = (triple_counts - DISCOUNT) / pair_counts[base] if len(triples) else np.zeros(0)
-    left2 = np.maximum(1 - np.bincount(base, weights=seen3, minlength=len(pairs)), 1e-12) if len(pairs) else np.zeros(0)
-    inner = _look(pairs, (second[base] << _BITS) | third) if len(triples) else np.zeros(0, np.int64)
-    p3 = seen3 + left2[base] * p2[inner] if len(triples) else np.zeros(0)
-    ones, twos = np.unique(first), np.unique(base)
-    home = np.zeros(len(words), np.int64)
+def build(g: Grams, counts: list[np.ndarray], corpus: Corpus) -> Automaton:
+    """The states and arcs that the texts of ``g`` can reach, from the corpus-wide counts of their n-grams."""
+    one, two, three = counts
+    logp = corpus.log_word(one)
+    left1, left2 = PRIORS[1] / (one + PRIORS[1]), PRIORS[2] / (two + PRIORS[2])
+    p2 = two / (one[g.heads[1]] + PRIORS[1]) + left1[g.heads[1]] * 10 ** logp[g.tails[1]]
+    seen2, seen3 = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
+    ones = np.flatnonzero(one > 0)
+    home = np.zeros(len(one), np.int64)
     home[ones] = 1 + np.arange(len(ones))
-    pair_state = np.zeros(len(pairs), np.int64)
-    pair_state[twos] = 1 + len(ones) + np.arange(len(twos))
-    fail = np.concatenate([np.zeros(1 + len(ones), np.int64), home[second[twos]]]).astype(np.int64)
-    fail_logp = np.log10(np.concatenate([[1.0], left1[ones], left2[twos]]))
-    after2 = np.where(pair_state > 0, pair_state, home[second]) if len(pairs) else np.zeros(0, np.int64)
-    arcs = np.concatenate([(home[first] << _BITS) | second, (pair_state[base] << _BITS) | third])
-    order = np.argsort(arcs)
-    logp = np.log10(np.concatenate([p2, p3]))
-    after = np.concatenate([after2, after2[inner] if len(triples) else np.zeros(0, np.int64)])
+    state = home[g.tails[1]]
+    state[seen2] = 1 + len(ones) + np.arange(len(seen2))
+    width = max(len(one), 1)
+    pair_keys = g.heads[1] * width + g.tails[1]  # sorted, as pairs are numbered
+    inner = np.searchsorted(pair_keys, g.tails[1][g.heads[2][seen3]] * width + g.tails[2][seen3])
+    base = g.heads[2][seen3]
+    p3 = three[seen3] / (two[base] + PRIORS[2]) + left2[base] * p2[inner]
+    arcs = np.concatenate([home[g.heads[1][seen2]] * width + g.tails[1][seen2], state[base] * width + g.tails[2][seen3]])
+    arc_logp, after = np.log10(np.concatenate([p2[seen2], p3])), np.concatenate([state[seen2], state[inner]])
     if not len(arcs):
-        arcs, logp, after, order = np.array([-1]), np.zeros(1), np.zeros(1, np.int64), np.array([0])
-    return Automaton(words, counts, total, distinct, discount, arcs[order], logp[order], after[order].astype(np.int64), fail, fail_logp, home)
-
-
-def _pair_keys(numbers: np.ndarray, frequent: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of neighbouring frequent words, the end before the first word, and where their second words are."""
-    chain = np.concatenate([[end], numbers])
-    ok = frequent[chain]
-    at = np.flatnonzero(ok[:-1] & ok[1:])
-    return (chain[at] << _BITS) | chain[at + 1], at
-
-
-def train(texts: DataFrame, words: int = WORDS, contexts: int = CONTEXTS, ngrams: int = NGRAMS) -> tuple[Automaton, DataFrame]:
-    """The automaton of ``texts`` (one column) and the counts (``key``, ``n``) of the words outside its dictionary."""
-    spark = texts.sparkSession
-    unigrams = written(_counted(texts, lambda hashes, bounds: hashes.view(np.int64)))
-    end_key = int(END.view(np.int64))
-    stats = unigrams.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    inside = _frequent(unigrams.where(F.col("key") != end_key), words)
-    edge = inside.agg(F.min("n")).first()[0]
-    keys, counts = _collect(inside.unionByName(unigrams.where(F.col("key") == end_key)))
-    hashes = keys.view(np.uint64)
-    if end_key not in keys:
-        hashes, counts = np.append(hashes, END), np.append(counts, 0)
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order].astype(np.int64)
-    rest = unigrams.where((F.col("n") < (edge if edge is not None else 1 << 62)) & (F.col("key") != end_key))
-    frequent = np.zeros(len(hashes) + 1, dtype=bool)
-    frequent[np.argsort(-counts, kind="stable")[:contexts]] = True
-    end = int(np.searchsorted(hashes, END))
-    frequent[end] = True
-    none = np.zeros(0, np.int64)
-    sent = spark.sparkContext.broadcast((hashes, frequent))
-
-    def number(h):
-        at = _look(sent.value[0], h)
-        return np.where(at < 0, len(sent.value[0]), at)
-
-    pairs, pair_counts = _collect(_frequent(written(_counted(texts, lambda h, b: _pair_keys(number(h), sent.value[1], end)[0]).where("n > 1")), ngrams, 2))
-    kept = spark.sparkContext.broadcast(pairs)
-
-    def triple_keys(h, b):
-        n = number(h)
-        key, at = _pair_keys(n, sent.value[1], end)
-        place = np.full(len(n) + 1, -1)
-        place[at + 1] = _look(kept.value, key)  # of the pair that ends with token at
-        ok = np.flatnonzero((place[1:-1] >= 0) & (place[2:] >= 0) & (n[:-1] != end))
-        return (place[ok + 1] << _BITS) | n[ok + 1]
-
-    triples, triple_counts = _collect(_frequent(written(_counted(texts, triple_keys).where("n > 1")), ngrams, 2)) if len(pairs) else (none, none)
-    return build(hashes, counts, int(stats[0] or 0), int(stats[1]), stats[2], stats[3], pairs, pair_counts, triples, triple_counts), rest
-
-
-def score(docs: DataFrame, model: Automaton, rest: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ``n_tokens``, ``n_known``, ``base_score``, ``score``) for every row of ``docs``.
-
-    ``base_score`` sums log10((c + 1) / (N + V + 1)); ``score`` is the automaton's log10 probability of the
-    text's words and its end. Null texts are empty: they score the end alone. Null and repeated ids keep
-    their rows; other columns are ignored; without training rows only unknown words remain, whose
-    probability is then taken as one.
+        arcs, arc_logp, after = np.array([-1]), np.zeros(1), np.zeros(1, np.int64)
+    order = np.argsort(arcs)
+    fail = np.concatenate([np.zeros(1 + len(ones), np.int64), home[g.tails[1][seen2]]])
+    fail_logp = np.log10(np.concatenate([[1.0], left1[ones], left2[seen2]]))
+    return Automaton(width, logp, home, arcs[order], arc_logp[order], after[order], fail, fail_logp)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Non-negative integers as bytes, the lowest ones first: high bytes are mostly zero and compress away."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, of five bytes each where they fit."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    wide = 5 if not len(steps) or steps.max() < 1 << 40 else 8
+    return bytes([wide]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    out = np.zeros(((len(blob) - 1) // blob[0], 8), np.uint8)
+    out[:, : blob[0]] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+_ASKED = "range_id long, part long, keys binary, counts binary"
+_TOLD = "range_id long, part long, counts binary"
+
+
+def _ask(bits: int):
+    """Of a part: its distinct keys and their counts in its training rows, in blobs by range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = table.column("text").cast(pa.large_string()).combine_chunks()
+        g = grams(texts)
+        keys, places = g.keys()
+        trains = np.repeat(table.column("trains").to_numpy(), np.diff(g.bounds))
+        own = np.zeros(len(keys), np.int64)
+        for at, place in zip(g.at, places):
+            use = trains & (at >= 0)
+            own += np.bincount(place[at[use]], minlength=len(keys))
+        ranges = (keys >> np.uint64(_KEY_BITS - bits)).astype(np.int64)
+        cuts = np.append(np.flatnonzero(np.diff(ranges, prepend=-1)), len(keys)).tolist()
+        low = ranges.astype(np.uint64) << np.uint64(_KEY_BITS - bits)
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        return pa.table(
+            {
+                "range_id": pa.array([int(ranges[a]) for a, _ in spans], pa.int64()),
+                "part": pa.array([table.column("part")[0].as_py()] * len(spans), pa.int64()),
+                "keys": pa.array([_pack_keys(keys[a:b] - low[a:b]) for a, b in spans], pa.binary()),
+                "counts": pa.array([_planes(own[a:b]) for a, b in spans], pa.binary()),
+            }
+        )
+
+    return run
+
+
+def _tell(table: pa.Table) -> pa.Table:
+    """Of a range: every part's keys with their counts over all parts, in the part's order."""
+    blobs = [_unpack_keys(b.as_py()) for b in table.column("keys")]
+    own = np.concatenate([_from_planes(b.as_py()) for b in table.column("counts")])
+    kinds, where = np.unique(np.concatenate(blobs), return_inverse=True)
+    totals = np.bincount(where, weights=own, minlength=len(kinds)).astype(np.int64)[where]
+    cuts = np.cumsum([len(b) for b in blobs])[:-1]
+    return pa.table({"range_id": table.column("range_id"), "part": table.column("part"), "counts": pa.array([_planes(t) for t in np.split(totals, cuts)], pa.binary())})
+
+
+def _scores(corpus: Corpus):
+    """Of a part: the scores of its texts, by the automaton made of the counts it was told."""
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        g = grams(table.column("text").cast(pa.large_string()).combine_chunks())
+        keys, places = g.keys()
+        told = told.sort_by("range_id")
+        every = np.concatenate([np.zeros(0, np.int64), *(_from_planes(b.as_py()) for b in told.column("counts"))])
+        if len(every) != len(keys):
+            raise RuntimeError("a part's texts changed between its two reads")
+        counts = [every[p] for p in places]
+        number = g.at[0]
+        end = int(number[g.bounds[1] - 1])
+        doc = np.repeat(np.arange(len(g.bounds) - 1), np.diff(g.bounds))
+        sums = [np.bincount(doc, weights=w[number], minlength=table.num_rows) for w in (counts[0] > 0, corpus.log_base(counts[0]))]
+        score = build(g, counts, corpus).traverse(number, g.bounds, end)
+        return pa.table({"id": table.column("id"), "n_tokens": np.diff(g.bounds), "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": score})
+
+    return run
+
+
+def score_all(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", part: int = PART, span: int = RANGE) -> tuple[DataFrame, Corpus]:
+    """(``id_col``, ``n_tokens``, ``n_known``, ``base_score``, ``score``) for every row, and the training totals.
+
+    The model learns from the rows where ``held_out`` isn't true. ``base_score`` sums log10((c + 1) / (N + V + 1));
+    ``score`` is the automaton's log10 probability of the text's words and its end. Null texts are empty: they
+    score the end alone. Null and repeated ids keep their rows; other columns are ignored; without training rows
+    only unknown words remain, whose probability is then taken as one. An empty table gives no rows.
+
+    Rows go to parts by their place in the input, so copies and hot keys spread evenly; both reads of a part
+    share one shuffle. ``docs`` must list its rows in a stable order, as files do.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    floor = np.log10(model.total + model.distinct + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Automaton = sent.value
-        base_of = np.log10(m.counts + 1.0) - floor
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for a, b in chunks(offsets, 24 << 20):
-                hashes, numbers, bounds = [], [], [np.zeros(1, np.int64)]
-                for c, d in chunks(offsets[a : b + 1], 4 << 20):
-                    h, at = tokens(data[offsets[a + c] : offsets[a + d]], offsets[a + c : a + d + 1] - offsets[a + c])
-                    hashes.append(h)
-                    numbers.append(m.number(h))
-                    bounds.append(at[1:] + bounds[-1][-1])
-                h, n, at = np.concatenate(hashes), np.concatenate(numbers), np.concatenate(bounds)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                known = n >= 0
-                base = np.bincount(doc[known], weights=base_of[n[known]], minlength=b - a)
-                inside = np.bincount(doc[known], weights=m.counts[n[known]] > 0, minlength=b - a).astype(np.int64)
-                total = m.traverse(n, at)
-                out = ~known
-                order = np.lexsort((h[out], doc[out]))
-                oh, od = h[out][order], doc[out][order]
-                new = np.ones(len(oh), dtype=bool)
-                new[1:] = (oh[1:] != oh[:-1]) | (od[1:] != od[:-1])
-                first = np.flatnonzero(new)
-                items = pa.StructArray.from_arrays([pa.array(oh[first].view(np.int64)), pa.array(np.diff(first, append=len(oh)))], names=["key", "times"])
-                cut = np.searchsorted(od[first], np.arange(b - a + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(row + np.arange(b - a)), pa.array(np.diff(at)), pa.array(inside), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), items)],
-                    names=["id", "row", "n_tokens", "inside", "base", "total", "outside"],
-                )
-                row += b - a
-
-    parts = written(docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, row long, n_tokens long, inside long, base double, total double, outside array<struct<key: long, times: long>>"))
-    apart = parts.selectExpr("row", "inline(outside)").join(rest, "key", "left")
-    n = F.col("n")
-    base = F.log10(F.coalesce(n, F.lit(0)) + 1) - F.lit(float(floor))
-    own = F.when(n.isNull(), F.lit(model.log_unknown())).otherwise(F.log10(n - F.lit(model.discount)) - F.lit(float(np.log10(max(model.total, 1)))))
-    times = F.col("times")
-    sums = apart.groupBy("row").agg(F.sum(times * base).alias("more_base"), F.sum(times * own).alias("more"), F.sum(F.when(n.isNotNull(), times)).alias("more_known"))
-    zero = F.lit(0)
-    return parts.join(sums, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("inside") + F.coalesce("more_known", zero)).alias("n_known"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("total") + F.coalesce("more", zero)).alias("score")
-    )
-
-
-def score_all(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", **sizes) -> tuple[DataFrame, Automaton]:
-    """Scores of all rows under the model of those where ``held_out`` isn't true."""
-    model, rest = train(docs.where(~F.coalesce(held_out, F.lit(False))).select(text_col), **sizes)
-    return score(docs, model, rest, id_col, text_col), model
+    trains = ~F.coalesce(held_out, F.lit(False))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), trains.alias("trains"))
+    size = int(rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
+    corpus = train(rows.where("trains").select("text"))
+    parts = max(1, -(-size // part))
+    bits = max(1, int(np.ceil(np.log2(max(2, size // 2 / span)))))  # about six bytes a token, three n-grams each
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))).repartition(parts, "part")
+    told = rows.groupBy("part").applyInArrow(_ask(bits), _ASKED).groupBy("range_id").applyInArrow(_tell, _TOLD).repartition(parts, "part")
+    out = rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_scores(corpus), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumnRenamed("id", id_col), corpus
