@@ -20,13 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.words import chunks, find_words, mix, span_hashes, text_bytes
 
-PART = 20 << 20  # bytes of text, on average
-RANGE = 1 << 20  # n-grams, repeats included, of a range of keys, on average
+PART = 10 << 20  # bytes of text, but for a single longer one
+RANGE = 1 << 21  # n-grams, repeats included, of a range of keys
 DISCOUNT = 0.75  # of words, if it can't be estimated
 PRIORS = (0.0, 8.0, 4.0)  # weight of the shorter context, by the context's length
 SEGMENT = 2048  # tokens; longer texts move on in segments, each entered in its true state
@@ -46,7 +47,7 @@ class Counter:
     """Sums of keys, merged as they come; emptied once they are many."""
 
     def __init__(self, most: int = 1 << 21):
-        self.most, self.keys, self.counts, self.parts, self.waiting = most, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        self.most, self.keys, self.counts, self.parts, self.waiting = most, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
     def add(self, keys: np.ndarray) -> None:
         k, c = np.unique(keys, return_counts=True)
@@ -62,28 +63,12 @@ class Counter:
         self.counts = np.bincount(where, weights=counts, minlength=len(self.keys)).astype(np.int64)
         self.parts, self.waiting = [], 0
 
-    def take(self, force: bool = False) -> Iterator[pa.RecordBatch]:
+    def take(self, force: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if force:
             self.merge()
         if len(self.keys) > self.most or force:
-            for a in range(0, len(self.keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(self.keys[a : a + (1 << 16)]), pa.array(self.counts[a : a + (1 << 16)])], names=["key", "n"])
-            self.keys = self.counts = np.zeros(0, np.int64)
-
-
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """(``key``, ``n``): sums over all texts of what ``keys_of(hashes, bounds)`` gives, combined in each task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            for a, b in chunks(offsets):
-                counter.add(keys_of(*tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])))
-                yield from counter.take()
-        yield from counter.take(force=True)
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+            yield self.keys, self.counts
+            self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
 @dataclass
@@ -104,11 +89,47 @@ class Corpus:
         return np.log10(counts + 1.0) - np.log10(self.total + self.distinct + 1)
 
 
-def train(texts: DataFrame) -> Corpus:
+def train(texts: DataFrame, bits: int) -> Corpus:
     """Totals over the words of ``texts`` (one column); each word's count is exact."""
-    words = _counted(texts, lambda hashes, bounds: hashes.view(np.int64))
-    n, kinds, singles, doubles = words.agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    return Corpus(int(n or 0), int(kinds), singles / (singles + 2 * doubles) if singles and doubles else DISCOUNT)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter()
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for a, b in chunks(offsets):
+                counter.add(_word_keys(tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0]))
+                for keys, counts in counter.take():
+                    yield from _blobs(keys, counts, bits, 0).to_batches()
+        for keys, counts in counter.take(force=True):
+            yield from _blobs(keys, counts, bits, 0).to_batches()
+
+    def total(table: pa.Table) -> pa.Table:
+        _, counts, _, _ = _summed(table)
+        return pa.table({"n": [counts.sum()], "kinds": [len(counts)], "singles": [(counts == 1).sum()], "doubles": [(counts == 2).sum()]})
+
+    sums = texts.mapInArrow(count, _ASKED).groupBy("range_id").applyInArrow(total, "n long, kinds long, singles long, doubles long")
+    n, kinds, singles, doubles = (int(v or 0) for v in sums.agg(F.sum("n"), F.sum("kinds"), F.sum("singles"), F.sum("doubles")).first())
+    return Corpus(n, kinds, singles / (singles + 2 * doubles) if singles and doubles else DISCOUNT)
+
+
+def _word_keys(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes, 1) >> np.uint64(64 - _KEY_BITS)
+
+
+def _longer_keys(heads: np.ndarray, words: np.ndarray, order: int) -> np.ndarray:
+    """Keys of n-grams by those of all but their last words."""
+    with np.errstate(over="ignore"):
+        return mix(heads * np.uint64(0xD1342543DE82EF95) + words, order + 1) >> np.uint64(64 - _KEY_BITS)
+
+
+def _all_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = text_bytes(column)
+    hashes, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for a, b in chunks(offsets):
+        h, at = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        hashes.append(h)
+        bounds.append(at[1:] + bounds[-1][-1])
+    return np.concatenate(hashes), np.concatenate(bounds)
 
 
 @dataclass
@@ -129,13 +150,7 @@ class Grams:
 
 def grams(column: pa.Array) -> Grams:
     """N-grams of whole texts; the end stands before the first word too, alone."""
-    data, offsets = text_bytes(column)
-    hashes, bounds = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-    for a, b in chunks(offsets):
-        h, at = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        hashes.append(h)
-        bounds.append(at[1:] + bounds[-1][-1])
-    h, bounds = np.concatenate(hashes), np.concatenate(bounds)
+    h, bounds = _all_tokens(column)
     words, number = np.unique(h, return_inverse=True)
     first = np.zeros(len(h), dtype=bool)
     first[bounds[:-1]] = True
@@ -147,13 +162,12 @@ def grams(column: pa.Array) -> Grams:
     triple = np.full(len(h), -1)
     triple[inside] = which
     heads, tails = [np.zeros(0, np.int64)], [np.arange(len(words))]
-    kinds = [mix(words, 1)]
+    kinds = [_word_keys(words)]
     for longer in (pairs, triples):
         heads.append(longer // max(len(words), 1))
         tails.append(longer % max(len(words), 1))
-        with np.errstate(over="ignore"):
-            kinds.append(mix(kinds[-1][heads[-1]] * np.uint64(0xD1342543DE82EF95) + words[tails[-1]], len(kinds) + 1))
-    return Grams(bounds, [k >> np.uint64(64 - _KEY_BITS) for k in kinds], [number, pair, triple], heads, tails)
+        kinds.append(_longer_keys(kinds[-1][heads[-1]], words[tails[-1]], len(kinds)))
+    return Grams(bounds, kinds, [number, pair, triple], heads, tails)
 
 
 @dataclass
@@ -237,86 +251,142 @@ def build(g: Grams, counts: list[np.ndarray], corpus: Corpus) -> Automaton:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Non-negative integers as bytes, the lowest ones first: high bytes are mostly zero and compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Non-negative integers, compressed by the place of their bytes: the high ones are mostly zero."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+def _from_planes(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, of five bytes each where they fit."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    wide = 5 if not len(steps) or steps.max() < 1 << 40 else 8
-    return bytes([wide]) + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+    """Sorted keys as differences: their low halves plain, since they are noise, the high ones compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return steps.astype("<u4").tobytes() + _planes(steps >> np.uint64(32))
+
+
+def _unpack_keys(blob: bytes, n: int) -> np.ndarray:
+    low = np.frombuffer(blob, "<u4", count=n).astype(np.uint64)
+    return np.cumsum((_from_planes(blob[4 * n :], n).astype(np.uint64) << np.uint64(32)) | low, dtype=np.uint64)
 
 
-def _unpack_keys(blob: bytes) -> np.ndarray:
-    out = np.zeros(((len(blob) - 1) // blob[0], 8), np.uint8)
-    out[:, : blob[0]] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
-    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+_ASKED = "range_id long, part long, n long, keys binary, counts binary"
+_TOLD = "range_id long, part long, n long, counts binary"
 
 
-_ASKED = "range_id long, part long, keys binary, counts binary"
-_TOLD = "range_id long, part long, counts binary"
+def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int, part: int) -> pa.Table:
+    """Sorted distinct keys and their counts, cut where the first ``bits`` bits change."""
+    ranges = (keys >> np.uint64(_KEY_BITS - bits)).astype(np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(ranges, prepend=-1)), len(keys)).tolist()
+    low = keys & np.uint64((1 << (_KEY_BITS - bits)) - 1)
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    return pa.table(
+        {
+            "range_id": pa.array([int(ranges[a]) for a, _ in spans], pa.int64()),
+            "part": pa.array([part] * len(spans), pa.int64()),
+            "n": pa.array([b - a for a, b in spans], pa.int64()),
+            "keys": pa.array([_pack_keys(low[a:b]) for a, b in spans], pa.binary()),
+            "counts": pa.array([_planes(counts[a:b]) for a, b in spans], pa.binary()),
+        }
+    )
+
+
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Of a range's blobs: distinct keys, their sums, the place of each blob's keys among them, the blobs' sizes."""
+    sizes = table.column("n").to_pylist()
+    keys = np.concatenate([_unpack_keys(b.as_py(), n) for b, n in zip(table.column("keys"), sizes)])
+    own = np.concatenate([_from_planes(b.as_py(), n) for b, n in zip(table.column("counts"), sizes)])
+    kinds, where = np.unique(keys, return_inverse=True)
+    order = np.argsort(where, kind="stable")
+    sums = np.add.reduceat(own[order], np.searchsorted(where[order], np.arange(len(kinds))))
+    return kinds, sums, where, sizes
+
+
+def _slices(size: int):
+    """Rows as (``part``, ``rows``): compressed runs of rows, those of a part holding up to ``size`` bytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, room = TaskContext.get().partitionId() << 32, size
+        for batch in batches:
+            offsets = text_bytes(batch.column(1))[1]
+            at = 0
+            while at < len(batch):
+                to = int(np.searchsorted(offsets, offsets[at] + room, side="right")) - 1
+                if to <= at:
+                    to = at + 1
+                    if room < size:
+                        part, room = part + 1, size
+                        continue
+                to = min(to, len(batch))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(at, to - at))
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "rows"])
+                room -= int(offsets[to] - offsets[at]) + to - at
+                at = to
+                if room <= 0:
+                    part, room = part + 1, size
+
+    return run
+
+
+def _opened(table: pa.Table) -> pa.Table:
+    """The rows of a part; its runs in a stable order."""
+    runs = sorted(r.as_py() for r in table.column("rows"))
+    return pa.concat_tables([pa.ipc.open_stream(r).read_all() for r in runs]).combine_chunks()
 
 
 def _ask(bits: int):
-    """Of a part: its distinct keys and their counts in its training rows, in blobs by range."""
+    """Of a part: the keys of its distinct n-grams and their counts in its training rows, by range."""
 
     def run(table: pa.Table) -> pa.Table:
-        texts = table.column("text").cast(pa.large_string()).combine_chunks()
-        g = grams(texts)
-        keys, places = g.keys()
-        trains = np.repeat(table.column("trains").to_numpy(), np.diff(g.bounds))
-        own = np.zeros(len(keys), np.int64)
-        for at, place in zip(g.at, places):
-            use = trains & (at >= 0)
-            own += np.bincount(place[at[use]], minlength=len(keys))
-        ranges = (keys >> np.uint64(_KEY_BITS - bits)).astype(np.int64)
-        cuts = np.append(np.flatnonzero(np.diff(ranges, prepend=-1)), len(keys)).tolist()
-        low = ranges.astype(np.uint64) << np.uint64(_KEY_BITS - bits)
-        spans = list(zip(cuts[:-1], cuts[1:]))
-        return pa.table(
-            {
-                "range_id": pa.array([int(ranges[a]) for a, _ in spans], pa.int64()),
-                "part": pa.array([table.column("part")[0].as_py()] * len(spans), pa.int64()),
-                "keys": pa.array([_pack_keys(keys[a:b] - low[a:b]) for a, b in spans], pa.binary()),
-                "counts": pa.array([_planes(own[a:b]) for a, b in spans], pa.binary()),
-            }
-        )
+        rows = _opened(table)
+        h, bounds = _all_tokens(rows.column("text").combine_chunks())
+        first = np.zeros(len(h), dtype=bool)
+        first[bounds[:-1]] = True
+        trains = np.repeat(rows.column("trains").to_numpy(), np.diff(bounds)).astype(np.uint64)
+        words = _word_keys(h)
+        before = np.roll(words, 1)
+        before[first] = _word_keys(np.array([END]))[0]
+        pairs = _longer_keys(before, h, 1)
+        inside = np.flatnonzero(~first)
+        triples = _longer_keys(pairs[inside - 1], h[inside], 2)
+        every = np.concatenate([(k << np.uint64(1)) | t for k, t in ((words, trains), (pairs, trains), (triples, trains[inside]))])
+        every.sort()
+        keys = every >> np.uint64(1)
+        starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        return _blobs(keys[starts], np.add.reduceat((every & np.uint64(1)).astype(np.int64), starts), bits, table.column("part")[0].as_py())
 
     return run
 
 
 def _tell(table: pa.Table) -> pa.Table:
     """Of a range: every part's keys with their counts over all parts, in the part's order."""
-    blobs = [_unpack_keys(b.as_py()) for b in table.column("keys")]
-    own = np.concatenate([_from_planes(b.as_py()) for b in table.column("counts")])
-    kinds, where = np.unique(np.concatenate(blobs), return_inverse=True)
-    totals = np.bincount(where, weights=own, minlength=len(kinds)).astype(np.int64)[where]
-    cuts = np.cumsum([len(b) for b in blobs])[:-1]
-    return pa.table({"range_id": table.column("range_id"), "part": table.column("part"), "counts": pa.array([_planes(t) for t in np.split(totals, cuts)], pa.binary())})
+    _, sums, where, sizes = _summed(table)
+    told = [_planes(t) for t in np.split(sums[where], np.cumsum(sizes)[:-1])]
+    return pa.table({"range_id": table.column("range_id"), "part": table.column("part"), "n": table.column("n"), "counts": pa.array(told, pa.binary())})
 
 
 def _scores(corpus: Corpus):
     """Of a part: the scores of its texts, by the automaton made of the counts it was told."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        g = grams(table.column("text").cast(pa.large_string()).combine_chunks())
+        rows = _opened(table)
+        g = grams(rows.column("text").combine_chunks())
         keys, places = g.keys()
         told = told.sort_by("range_id")
-        every = np.concatenate([np.zeros(0, np.int64), *(_from_planes(b.as_py()) for b in told.column("counts"))])
+        every = np.concatenate([_from_planes(b.as_py(), n.as_py()) for b, n in zip(told.column("counts"), told.column("n"))])
         if len(every) != len(keys):
             raise RuntimeError("a part's texts changed between its two reads")
         counts = [every[p] for p in places]
         number = g.at[0]
         end = int(number[g.bounds[1] - 1])
         doc = np.repeat(np.arange(len(g.bounds) - 1), np.diff(g.bounds))
-        sums = [np.bincount(doc, weights=w[number], minlength=table.num_rows) for w in (counts[0] > 0, corpus.log_base(counts[0]))]
+        sums = [np.bincount(doc, weights=w[number], minlength=len(rows)) for w in (counts[0] > 0, corpus.log_base(counts[0]))]
         score = build(g, counts, corpus).traverse(number, g.bounds, end)
-        return pa.table({"id": table.column("id"), "n_tokens": np.diff(g.bounds), "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": score})
+        return pa.table({"id": rows.column("id"), "n_tokens": np.diff(g.bounds), "n_known": sums[0].astype(np.int64), "base_score": sums[1], "score": score})
 
     return run
 
@@ -329,17 +399,16 @@ def score_all(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
     score the end alone. Null and repeated ids keep their rows; other columns are ignored; without training rows
     only unknown words remain, whose probability is then taken as one. An empty table gives no rows.
 
-    Rows go to parts by their place in the input, so copies and hot keys spread evenly; both reads of a part
-    share one shuffle. ``docs`` must list its rows in a stable order, as files do.
+    Parts are runs of the input, so copies and hot sources make no large group; both reads of a part share one
+    shuffle. ``docs`` must list its rows in a stable order, as files do.
     """
     trains = ~F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), trains.alias("trains"))
     size = int(rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0)
-    corpus = train(rows.where("trains").select("text"))
-    parts = max(1, -(-size // part))
     bits = max(1, int(np.ceil(np.log2(max(2, size // 2 / span)))))  # about six bytes a token, three n-grams each
-    kind = rows.schema["id"].dataType.simpleString()
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))).repartition(parts, "part")
-    told = rows.groupBy("part").applyInArrow(_ask(bits), _ASKED).groupBy("range_id").applyInArrow(_tell, _TOLD).repartition(parts, "part")
+    corpus = train(rows.where("trains").select("text"), bits)
+    kind, tasks = rows.schema["id"].dataType.simpleString(), max(1, -(-size // part))
+    rows = rows.mapInArrow(_slices(part), "part long, rows binary").repartition(tasks, "part")
+    told = rows.groupBy("part").applyInArrow(_ask(bits), _ASKED).groupBy("range_id").applyInArrow(_tell, _TOLD).repartition(tasks, "part")
     out = rows.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_scores(corpus), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.withColumnRenamed("id", id_col), corpus
