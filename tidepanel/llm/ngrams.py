@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.words import chunks, find_words, mix, span_hashes, text_bytes
 
-PART = 10 << 20  # bytes of text, but for a single longer one
+PART = 5 << 20  # bytes of text, but for a single longer one
 RANGE = 1 << 21  # n-grams, repeats included, of a range of keys
 DISCOUNT = 0.75  # of words, if it can't be estimated
 PRIORS = (0.0, 8.0, 4.0)  # weight of the shorter context, by the context's length
@@ -381,6 +381,7 @@ def _scores(corpus: Corpus):
         if len(every) != len(keys):
             raise RuntimeError("a part's texts changed between its two reads")
         counts = [every[p] for p in places]
+        del keys, places, every
         number = g.at[0]
         end = int(number[g.bounds[1] - 1])
         doc = np.repeat(np.arange(len(g.bounds) - 1), np.diff(g.bounds))
