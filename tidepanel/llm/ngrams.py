@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidepanel.llm.words import chunks, find_words, mix, span_hashes, text_bytes
 
 PART = 5 << 20  # bytes of text, but for a single longer one
-RANGE = 1 << 21  # n-grams, repeats included, of a range of keys
+RANGE = 1 << 22  # n-grams, repeats included, of a range of keys
 DISCOUNT = 0.75  # of words, if it can't be estimated
 PRIORS = (0.0, 300.0, 10.0)  # weight of the shorter context, by the context's length; chosen on a split of training rows
 SEGMENT = 2048  # tokens; longer texts move on in segments, each entered in its true state
@@ -299,8 +299,7 @@ def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[i
     keys = np.concatenate([_unpack_keys(b.as_py(), n) for b, n in zip(table.column("keys"), sizes)])
     own = np.concatenate([_from_planes(b.as_py(), n) for b, n in zip(table.column("counts"), sizes)])
     kinds, where = np.unique(keys, return_inverse=True)
-    order = np.argsort(where, kind="stable")
-    sums = np.add.reduceat(own[order], np.searchsorted(where[order], np.arange(len(kinds))))
+    sums = np.bincount(where, weights=own, minlength=len(kinds)).astype(np.int64)  # exact below 2^53
     return kinds, sums, where, sizes
 
 
