@@ -63,3 +63,13 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, source string")
     plan = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_named_like_the_operators_own(spark):
+    plain = spark.createDataFrame([(i, "a b c " * (i % 5), "xy"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    docs = plain.selectExpr("*", "doc_id AS _mix", "'e' AS _edge", "1 AS _MORE", "2 AS bucket", "3 AS source_size", "4 AS s", "5 AS __mix")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in mixing.mixed(plain).collect())
+    assert all(r["_mix"] == r.doc_id and (r["_edge"], r["_MORE"], r.bucket, r.source_size, r.s, r["__mix"]) == ("e", 1, 2, 3, 4, 5) for r in rows)

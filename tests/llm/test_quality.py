@@ -58,3 +58,14 @@ def test_odd_rows(spark):
     none = quality.score(docs, quality.fit(docs, labels.limit(0)))
     assert none.count() == 5 and quality.keep_good(docs.limit(0), labels).count() == 0
     assert quality.keep_good(docs, labels).columns == docs.columns
+
+
+def test_columns_named_like_the_operators_own(spark):
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = plain.selectExpr("*", "doc_id AS _score", "1 AS id", "2 AS y", "3 AS bag", "4 AS quality")
+    out = quality.keep_good(docs, labels)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in quality.keep_good(plain, labels).collect()}
+    assert all((r["_score"], r.id, r.y, r.bag, r.quality) == (r.doc_id, 1, 2, 3, 4) for r in rows)

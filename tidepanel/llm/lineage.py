@@ -56,6 +56,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spared(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns that are called like one of ``names`` (in any case) renamed; the order stays."""
+    out = list(df.columns)
+    for i, c in enumerate(out):
+        while c.lower() in names:
+            c = f"_{c}"
+            while c.lower() in {o.lower() for o in out}:
+                c = f"_{c}"
+        out[i] = c
+    return df.toDF(*out)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` read back from Parquet files in the checkpoint folder: smaller than :func:`cut` for large tables.
 

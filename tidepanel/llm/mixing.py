@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.lineage import cut
+from tidepanel.llm.lineage import cut, spared
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -94,6 +94,7 @@ def draw(prepared: DataFrame, source_col: str = "source", weights: tuple[int, ..
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
-    drawn = draw(prepare(docs, **options))
-    return drawn.withColumn("_mix", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int")))).select(docs.columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns, whatever their names."""
+    own = spared(docs, "_mix", "_edge", "_more")
+    drawn = draw(prepare(own, **options))
+    return drawn.withColumn("_mix", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int")))).select(own.columns).toDF(*docs.columns)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm.lineage import spared
 from tidepanel.llm.words import chunks, find_words, span_hashes, text_bytes
 
 PASSAGE = 64  # words
@@ -197,5 +198,6 @@ def score(docs: DataFrame, model: Attention, text_col: str = "text", keep: list[
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``threshold``, with their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") >= threshold).drop("_score")
+    """The rows of ``docs`` whose score is at least ``threshold``, with their columns, whatever their names."""
+    own = spared(docs, "_score")
+    return score(own, fit(own, labels)).where(F.col("_score") >= threshold).drop("_score").toDF(*docs.columns)
