@@ -98,6 +98,19 @@ def test_all_sources_of_a_joined_passage_are_named(spark):
     assert {frozenset({x.doc_id, s}) for x in out for s in x.source_ids} == {frozenset({0, 2}), frozenset({1, 2})}
 
 
+def test_a_passage_is_found_though_an_earlier_document_has_a_part_of_it(spark):
+    r = np.random.default_rng(7)
+    part, n = words(r, 40, "part"), 60
+    rows = []
+    for i in range(n):  # two documents share each passage, all have its 40 words
+        passage = words(r, 8) + part + words(r, 7)
+        rows += [(2 * i + k, " ".join(words(r, 100) + passage + words(r, 100))) for k in (0, 1)]
+    out = sub.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    got = {x.doc_id // 2 for x in out if x.first_word <= 100 and x.end_word >= 155}
+    assert all(x.doc_id // 2 == s // 2 for x in out for s in x.source_ids)
+    assert len(got) == n
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sub.repeated_passages(docs).count() == 0 and sub.without_repeats(docs).count() == 0

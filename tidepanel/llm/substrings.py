@@ -8,8 +8,12 @@ similarity of 0.8 have one with probability 0.8 for each function and place. An
 window with the first document's that has the signature, if both windows, aligned at their least shingles,
 have room for such a passage. What is paired is verified on the words around it.
 
-No pairs are made within a group: each window meets one other. Rows per document follow its length, hot
-signatures are combined before the shuffle, and the joins on them may be split.
+The first document of a signature may hold only a part of what two later ones share. So where three windows
+or more have a signature, the runs of 50 words around it are grouped too, by a hash of the whole run: the first
+document that has a run shares all of it, and a passage of 50 words or more that is exactly alike is paired
+whatever other documents hold. No pairs are made within a group: each window and each run meets one other.
+Rows per document follow its length, hot signatures are combined before the shuffle, and the joins on them
+may be split.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.lineage import cut
+from tidepanel.llm.lineage import cut, written
 from tidepanel.llm.words import chunks, find_words, mix, shingle_hashes, span_hashes, text_bytes
 
 SHINGLE = 5
@@ -159,24 +163,9 @@ def shared_passages(a: np.ndarray, b: np.ndarray, width: int = WIDTH, similar: f
     return out
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``doc_id``, ``key``, ``first_word``, ``end_word``, ``source_id``, ``source_word``, ``source_ids``): passages that earlier documents have.
-
-    Passages are of at least 50 words (A-Z lowered), with five-word shingles of a Jaccard similarity of 0.8
-    or more to a source's; overlapping ones are one. ``source_ids`` lists all sources found for it, the first
-    of them is ``source_id``, where the passage begins at ``source_word``. Of documents that share a passage the one with the
-    least ``key`` (a hash of id and text) is earlier and keeps it, so every passage stays somewhere. Passages
-    that only one document repeats don't count, nor do rows that are alike in id and text (they share a key).
-    Null ids take part; null, empty and short texts have no passages; other columns are ignored.
-    """
-    keyed = _keyed(docs, id_col, text_col)
-    found = windows(keyed)
-    groups = found.groupBy("sig").agg(F.min("key").alias("source"), F.max("key").alias("most"), F.min_by("at", "key").alias("source_at")).where("source < most").drop("most")
-    room = "least(at >> 8 & 255, source_at >> 8 & 255) + least(at & 255, source_at & 255) + 1"
-    pairs = found.join(groups, "sig").where(f"key <> source AND {room} >= {int(WIDTH * SIMILAR)}")
-    pairs = cut(pairs.selectExpr("key", "source", f"CAST((source_at >> 16) DIV {BLOCK} AS INT) AS block").distinct())
+def compared(pairs: DataFrame, coded: DataFrame) -> DataFrame:
+    """Passages of documents ``key`` that stand in a ``block`` of ``source``: what :func:`shared_passages` finds in the codes of both."""
     wanted = pairs.groupBy(F.col("source").alias("key")).agg(F.collect_set("block").alias("blocks"))
-    coded = codes(keyed)
     kind = coded.schema["doc"].dataType.simpleString()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +196,56 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             kinds = (batch.column(1).type, pa.int64(), pa.int64(), pa.int64(), batch.column(3).type, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "key", "first_word", "end_word", "source_id", "source_word"])
 
-    compared = pairs.join(sources, ["source", "block"]).join(members, "key").select("key", "doc", "codes", "source_id", "first", "theirs")
-    parts = compared.mapInArrow(verify, f"doc_id {kind}, key long, first_word long, end_word long, source_id {kind}, source_word long")
+    sides = pairs.join(sources, ["source", "block"]).join(members, "key").select("key", "doc", "codes", "source_id", "first", "theirs")
+    return sides.mapInArrow(verify, f"doc_id {kind}, key long, first_word long, end_word long, source_id {kind}, source_word long")
+
+
+def runs(coded: DataFrame) -> DataFrame:
+    """(``run``, ``key``, ``at``): hash and first word of each run of ``WORDS`` words with one of ``places`` among its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                data = np.frombuffer(batch.column(1)[i].as_py(), dtype=np.uint8)
+                n = len(data) // 2 - WORDS + 1
+                if n <= 0:
+                    continue
+                change = np.zeros(n + 1, dtype=np.int64)
+                places = batch.column(2)[i].values.to_numpy()
+                np.add.at(change, np.clip(places - WIDTH + 1, 0, n), 1)
+                np.add.at(change, np.clip(places + 1, 0, n), -1)
+                at = np.flatnonzero(np.cumsum(change[:n]) > 0)
+                hashes = span_hashes(data, 2 * at, 2 * (at + WORDS)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(at), key)), pa.array(at, pa.int32())], names=["run", "key", "at"])
+
+    return coded.select("key", "codes", "places").mapInArrow(run, "run long, key long, at int")
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``doc_id``, ``key``, ``first_word``, ``end_word``, ``source_id``, ``source_word``, ``source_ids``): passages that earlier documents have.
+
+    Passages are of at least 50 words (A-Z lowered), with five-word shingles of a Jaccard similarity of 0.8
+    or more to a source's; overlapping ones are one. ``source_ids`` lists all sources found for it, the first
+    of them is ``source_id``, where the passage begins at ``source_word``. Of documents that share a passage the one with the
+    least ``key`` (a hash of id and text) is earlier and keeps it, so every passage stays somewhere. Passages
+    that only one document repeats don't count, nor do rows that are alike in id and text (they share a key).
+    Null ids take part; null, empty and short texts have no passages; other columns are ignored.
+    """
+    keyed = _keyed(docs, id_col, text_col)
+    found = windows(keyed)
+    groups = found.groupBy("sig").agg(F.min("key").alias("source"), F.max("key").alias("most"), F.min_by("at", "key").alias("source_at"), F.count("*").alias("n")).where("source < most").drop("most")
+    room = f"least(at >> 8 & 255, source_at >> 8 & 255) + least(at & 255, source_at & 255) + 1 >= {int(WIDTH * SIMILAR)}"
+    shared = found.join(groups, "sig").where(f"key <> source AND (n > 2 OR {room})")
+    shared = written(shared.selectExpr("key", "IF(n > 2, CAST(at >> 16 AS INT), NULL) AS place", f"IF({room}, source, NULL) AS source", f"CAST((source_at >> 16) DIV {BLOCK} AS INT) AS block"))
+    tried = cut(shared.where("source IS NOT NULL").select("key", "source", "block").distinct())
+    parts = compared(tried, codes(keyed))
+    places = written(shared.where("place IS NOT NULL").groupBy("key").agg(F.collect_set("place").alias("places")))
+    coded = written(codes(keyed.join(places, "key", "left_semi").select("doc", "key", "text")))
+    whole = runs(coded.join(places, "key"))
+    groups = whole.groupBy("run").agg(F.min("key").alias("source"), F.min_by("at", "key").alias("source_at"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = whole.join(groups, "run").where("key <> source").selectExpr("key", "source", f"CAST(source_at DIV {BLOCK} AS INT) AS block").distinct()
+    pairs = cut(pairs.join(tried, ["key", "source", "block"], "left_anti"))
+    parts = parts.unionByName(compared(pairs, coded))
     span = F.struct("first_word", "end_word", "source_id", "source_word", F.array("source_id").alias("source_ids"))
     spans = parts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_set(span)).alias("s"))
     joined = F.expr(
