@@ -125,3 +125,12 @@ def test_shared_passages_tolerate_changes_up_to_the_threshold():
     assert sub.shared_passages(a, b) == [(50, 150, 0)]
     b[10:90] = np.arange(80, dtype=np.uint64)
     assert sub.shared_passages(a, b) == []
+
+
+def test_shared_passages_with_a_line_that_stands_earlier_in_the_source_too():
+    r = np.random.default_rng(4)
+    b = r.integers(0, 1 << 60, 250).astype(np.uint64)
+    b[20:26] = b[160:166]
+    a = b[150:206].copy()
+    a[26:31] = np.arange(5)  # one changed word
+    assert sub.shared_passages(a, b) == [(0, 56, 150)]

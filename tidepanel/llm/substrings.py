@@ -143,23 +143,39 @@ def shared_passages(a: np.ndarray, b: np.ndarray, width: int = WIDTH, similar: f
     ia = np.flatnonzero(ordered[at] == a)
     if len(ia) < width * similar:
         return []
-    ib = order[at[ia]]
+    at = at[ia]
+    often = np.searchsorted(ordered, a[ia], side="right") - at
+
+    def aligned(s: int, e: int) -> np.ndarray:
+        """Where the shingles ``s`` to ``e`` stand in b: of several places the one nearest to the most frequent diagonal."""
+        n = often[s:e]
+        if n.max() == 1:
+            return order[at[s:e]]
+        first = np.cumsum(n) - n
+        which = np.repeat(np.arange(e - s), n)
+        places = order[np.arange(n.sum()) + np.repeat(at[s:e] - first, n)]
+        diagonal = places - ia[s:e][which]
+        values, counts = np.unique(diagonal, return_counts=True)
+        nearest = np.lexsort((np.abs(diagonal - values[counts.argmax()]), which))
+        return places[nearest[first]]
+
     gaps = np.diff(ia)
     out, todo = [], [(s, e) for s, e in zip([0, *(np.flatnonzero(gaps > GAP) + 1)], [*(np.flatnonzero(gaps > GAP) + 1), len(ia)])]
     while todo:
         s, e = todo.pop()
         if ia[e - 1] - ia[s] + 1 < width:
             continue
+        ib = aligned(s, e)
         mine = np.unique(a[ia[s] : ia[e - 1] + 1])
-        theirs = np.unique(b[ib[s:e].min() : ib[s:e].max() + 1])
+        theirs = np.unique(b[ib.min() : ib.max() + 1])
         both = len(np.intersect1d(mine, theirs, assume_unique=True))
         if both >= similar * (len(mine) + len(theirs) - both):
-            out.append((int(ia[s]), int(ia[e - 1]) + 1, int(ib[s:e].min())))
+            out.append((int(ia[s]), int(ia[e - 1]) + 1, int(ib.min())))
         elif (widest := gaps[s : e - 1]).size and widest.max() > 1:
             cut_at = s + 1 + int(widest.argmax())
             todo += [(s, cut_at), (cut_at, e)]
         elif len(theirs) > len(mine):  # a run without gaps whose shingles repeat in b
-            out.append((int(ia[s]), int(ia[e - 1]) + 1, int(ib[s:e].min())))
+            out.append((int(ia[s]), int(ia[e - 1]) + 1, int(ib.min())))
     return out
 
 
