@@ -20,7 +20,7 @@ def slow_windows(keys, bounds, width):
 
     for a, b in zip(bounds, bounds[1:]):
         node(a, b - 1)
-    return sorted(out)
+    return sorted((max(lo, c - width + 1), c, min(hi, c + width - 1)) for lo, c, hi in out)
 
 
 @pytest.mark.parametrize("width", [1, 2, 7, 46])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.lineage import components, cut
+from tidepanel.llm.lineage import components, cut, spared
 from tidepanel.llm.words import SPACE, chunks, find_words, text_bytes
 
 SEED = 42
@@ -162,11 +162,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those whose near-duplicate group has a smaller ``doc_id``.
 
-    Of repeated rows of the kept id one stays. A row without an id stays only if its group has no id.
+    Of repeated rows of the kept id one stays for each text. A row without an id stays only if its group has no id.
+    Other columns may have any names; an empty table stays empty.
     """
     marked = cut(near_duplicates(docs).where("doc_id = component_id OR component_id IS NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-    kept = docs.join(marked.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if marked.where("_rows > 1").isEmpty():
-        return kept
-    copy = F.struct(F.xxhash64("text"), F.length("text"))
-    return kept.withColumn("_copy", copy).dropDuplicates(["doc_id", "_copy"]).select(docs.columns)
+    own = spared(docs, "_kept", "_copy")
+    kept = own.join(marked.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    if not marked.where("_rows > 1").isEmpty():
+        copy = F.struct(F.xxhash64("text"), F.length("text"))
+        kept = kept.withColumn("_copy", copy).dropDuplicates(["doc_id", "_copy"]).drop("_copy")
+    return kept.toDF(*docs.columns)

@@ -1,19 +1,23 @@
 """Substring deduplication by compact windows.
 
-A document is the sequence of its shingles of five words. Under a hash function, the Cartesian tree of the
-shingles' hashes groups all subsequences with the same least shingle into one compact window: left bound,
-place of the least shingle, right bound. Two documents that share a passage of at least ``WIDTH`` shingles
-have, for each hash function, a window with the same signature around it; passages with a Jaccard
-similarity of 0.8 have one with probability 0.8 for each function and place. An interval join pairs each
-window with the first document's that has the signature, if both windows, aligned at their least shingles,
-have room for such a passage. What is paired is verified on the words around it.
-
-The first document of a signature may hold only a part of what two later ones share. So where three windows
-or more have a signature, the runs of 50 words around it are grouped too, by a hash of the whole run: the first
-document that has a run shares all of it, and a passage of 50 words or more that is exactly alike is paired
-whatever other documents hold. No pairs are made within a group: each window and each run meets one other.
-Rows per document follow its length, hot signatures are combined before the shuffle, and the joins on them
-may be split.
+A document is the sequence of its anchors, its runs of 13 words. Under a hash function, the Cartesian tree of the
+anchors' hashes groups all subsequences with the same least anchor into one compact window: left bound, place of the
+least anchor, right bound. Passages that are alike in 25 words have 13 anchors in common, so a window with the same
+signature around the same least anchor, whatever the hash function.
+
+That is enough for all passages of 50 words whose five-word shingles have a Jaccard similarity of 0.8. Each stretch in
+which two such passages differ takes four shingles or more from one and five or more from the other, so with m stretches
+at least 36 m shingles are alike (and 41 of 46 with one), in m + 1 runs. The longest run has 21 shingles at least: 25 words.
+
+An interval join pairs each window with the first document's that has its signature, if both windows, aligned at their
+least anchors, have room for such a run. What is paired is verified on the words around it. The first document may hold
+only a part of what two later ones share. So where three windows or more have a signature, those that no verified passage
+covers go on: their runs of 25 and of 50 words around the anchor are grouped by a hash of the whole run, and each meets the
+first document that has it. So a passage of 50 words that is exactly alike is always found, and near copies are unless an
+earlier document holds each of the runs of 25 words that they share, without holding the passage.
+
+No pairs are made within a group: each window and each run meets one other. Rows per document follow its length, and hot
+signatures meet in a join of rows, never in one list.
 """
 
 from __future__ import annotations
@@ -25,69 +29,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.lineage import cut, written
-from tidepanel.llm.words import chunks, find_words, mix, shingle_hashes, span_hashes, text_bytes
+from tidepanel.llm.lineage import cut, spared, written
+from tidepanel.llm.words import chunks, find_words, mix, run_hashes, shingle_hashes, span_hashes, text_bytes
 
 SHINGLE = 5
 WORDS = 50
 WIDTH = WORDS - SHINGLE + 1  # shingles in the shortest passage
 SIMILAR = 0.8
-HASHES = 3
+ANCHOR = 13  # words
+ALIKE = 25  # words that similar passages have in one run at least
+HASHES = 1
 BLOCK, MARGIN = 128, 64  # words of a first document that are compared at once, and those around them
 GAP = 10  # shingles that differ between two stretches of one passage: two changed words
-_REACH = 255
 _SLICE = 1 << 21
 
 
-def compact_windows(keys: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Left bound, place and right bound (inclusive) of each compact window of at least ``width`` shingles.
+def compact_windows(keys: np.ndarray, bounds: np.ndarray, width: int = ALIKE - ANCHOR + 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left bound, place and right bound (inclusive) of each compact window of at least ``width`` anchors, up to ``width`` - 1 from the place.
 
-    These are the nodes of each text's Cartesian tree (of equal keys the leftmost is the parent) whose
-    subtree is that wide. A node is one exactly if it is the least of some run of ``width`` shingles, so
-    sliding minima find the places; its bounds are the nearest lesser ones of these places.
+    These are the nodes of each text's Cartesian tree (of equal keys the leftmost is the parent) whose subtree is that
+    wide. A node is one exactly if it is the least of some run of ``width`` anchors, so sliding minima find the places,
+    and the first and last of these runs its bounds, as far as runs of that width can tell.
     """
-    n, found = len(keys), []
     low = np.uint64(_SLICE * 2 - 1)
-    starts = np.ones(n, dtype=bool)
+    inside = np.ones(len(keys), dtype=bool)
     for k in range(1, width):  # runs that would leave their text
         at = bounds[1:] - k
-        starts[at[at >= bounds[:-1]]] = False
-    for a in range(0, n, _SLICE):
-        part = (keys[a : a + _SLICE + width - 1] & ~low) | np.arange(len(keys[a : a + _SLICE + width - 1]), dtype=np.uint64)
+        inside[at[at >= bounds[:-1]]] = False
+    found = [np.zeros((3, 0), np.int64)]
+    for a in range(0, len(keys), _SLICE):
+        part = keys[a : a + _SLICE + width - 1]
+        if len(part) < width:
+            break
+        part = (part & ~low) | np.arange(len(part), dtype=np.uint64)
         span = 1
-        while span * 2 <= width and len(part) > span:
+        while span * 2 <= width:
             part = np.minimum(part[:-span], part[span:])
             span *= 2
-        if (rest := width - span) and len(part) > rest:
-            part = np.minimum(part[:-rest], part[rest:])
-        elif rest:
-            continue
-        part = part[: _SLICE][starts[a : a + min(len(part), _SLICE)]]
-        found.append(np.unique((part[np.diff(part, prepend=~part[:1]) != 0] & low).astype(np.int64) + a) if len(part) else np.zeros(0, np.int64))
-    place = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    left, right = np.empty_like(place), np.empty_like(place)
-    order = (keys[place] & ~low).tolist()
-    doc = np.searchsorted(bounds, place, side="right") - 1
-    stack: list[int] = []
-    docs, places, first, last = doc.tolist(), place.tolist(), bounds[doc].tolist(), (bounds[doc + 1] - 1).tolist()
-    lefts, rights = [0] * len(places), last[:]
-    for i, key in enumerate(order):
-        while stack and (docs[stack[-1]] != docs[i] or order[stack[-1]] > key):
-            j = stack.pop()
-            if docs[j] == docs[i]:
-                rights[j] = places[i] - 1
-        lefts[i] = places[stack[-1]] + 1 if stack else first[i]
-        stack.append(i)
-    left[:], right[:] = lefts, rights
-    return left, place, right
+        if span < width:
+            part = np.minimum(part[: span - width], part[width - span :])
+        first = np.flatnonzero(inside[a : a + len(part)])
+        place = (part[first] & low).astype(np.int64)
+        begin = np.flatnonzero(np.diff(place, prepend=-1))
+        end = np.append(begin[1:], len(place))[: len(begin)] - 1
+        found.append(np.stack([first[begin], place[begin], first[end] + width - 1]) + a)
+    left, place, right = np.concatenate(found, axis=1)
+    new = np.flatnonzero(np.diff(place, prepend=-1))  # a place on both sides of a cut
+    return (np.minimum.reduceat(left, new), place[new], np.maximum.reduceat(right, new)) if len(new) else (left, place, right)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(``sig``, ``key``, ``at``): signature, document, and place << 16 | room to the left << 8 | to the right."""
+def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
+    """(``sig``, ``key``, ``at``): signature, document, and place << 8 | room to the left << 4 | to the right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,18 +91,13 @@ def windows(docs: DataFrame) -> DataFrame:
             data, offsets = text_bytes(batch.column(1))
             for a, b in chunks(offsets):
                 w = find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                shingles, bounds = shingle_hashes(span_hashes(w.data, w.starts, w.ends), w.bounds, SHINGLE)
-                for k in range(HASHES):
-                    keys = mix(shingles, 101 + k)
+                anchors, bounds = shingle_hashes(span_hashes(w.data, w.starts, w.ends), w.bounds, ANCHOR)
+                for k in range(hashes):
+                    keys = mix(anchors, 101 + k)
                     left, place, right = compact_windows(keys, bounds)
                     doc = np.searchsorted(bounds, place, side="right") - 1
-                    sig = (keys[place] ^ np.uint64(k)).view(np.int64)
-                    order = np.lexsort((place, sig, doc))
-                    once = np.ones(len(order), dtype=bool)
-                    once[1:] = (sig[order][1:] != sig[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-                    i = order[once]
-                    at = ((place[i] - bounds[doc[i]]) << 16) | (np.minimum(place[i] - left[i], _REACH) << 8) | np.minimum(right[i] - place[i], _REACH)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[i]), pa.array(names[a:b][doc[i]]), pa.array(at)], names=["sig", "key", "at"])
+                    at = ((place - bounds[doc]) << 8) | (place - left << 4) | (right - place)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[place].view(np.int64)), pa.array(names[a:b][doc]), pa.array(at)], names=["sig", "key", "at"])
 
     return docs.select("key", "text").mapInArrow(run, "sig long, key long, at long")
 
@@ -180,7 +171,7 @@ def shared_passages(a: np.ndarray, b: np.ndarray, width: int = WIDTH, similar: f
 
 
 def compared(pairs: DataFrame, coded: DataFrame) -> DataFrame:
-    """Passages of documents ``key`` that stand in a ``block`` of ``source``: what :func:`shared_passages` finds in the codes of both."""
+    """Passages of documents ``key`` that stand in a ``block`` of ``source``: what :func:`shared_passages` finds in the codes of both, one row of ``coded`` each."""
     wanted = pairs.groupBy(F.col("source").alias("key")).agg(F.collect_set("block").alias("blocks"))
     kind = coded.schema["doc"].dataType.simpleString()
 
@@ -194,9 +185,8 @@ def compared(pairs: DataFrame, coded: DataFrame) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], batch.column(1).type), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.binary())], names=["source", "block", "source_id", "first", "theirs"])
 
-    sources = coded.join(wanted, "key").dropDuplicates(["key"]).select("key", "doc", "codes", "blocks")
+    sources = coded.join(wanted, "key").select("key", "doc", "codes", "blocks")
     sources = sources.mapInArrow(blocks, f"source long, block int, source_id {kind}, first long, theirs binary")
-    members = coded.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, np.zeros(0, np.uint64)
@@ -212,29 +202,38 @@ def compared(pairs: DataFrame, coded: DataFrame) -> DataFrame:
             kinds = (batch.column(1).type, pa.int64(), pa.int64(), pa.int64(), batch.column(3).type, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "key", "first_word", "end_word", "source_id", "source_word"])
 
-    sides = pairs.join(sources, ["source", "block"]).join(members, "key").select("key", "doc", "codes", "source_id", "first", "theirs")
+    sides = pairs.join(sources, ["source", "block"]).join(coded, "key").select("key", "doc", "codes", "source_id", "first", "theirs")
     return sides.mapInArrow(verify, f"doc_id {kind}, key long, first_word long, end_word long, source_id {kind}, source_word long")
 
 
-def runs(coded: DataFrame) -> DataFrame:
-    """(``run``, ``key``, ``at``): hash and first word of each run of ``WORDS`` words with one of ``places`` among its shingles."""
+def runs(open_places: DataFrame) -> DataFrame:
+    """(``run``, ``key``, ``at``): hash and first word of each run of ``ALIKE`` or ``WORDS`` words around an anchor that no span covers.
+
+    ``open_places`` has (``key``, ``codes``, ``places``, ``spans``): where the anchors begin, and passages that are known.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, key in enumerate(batch.column(0).to_pylist()):
-                data = np.frombuffer(batch.column(1)[i].as_py(), dtype=np.uint8)
-                n = len(data) // 2 - WORDS + 1
-                if n <= 0:
-                    continue
-                change = np.zeros(n + 1, dtype=np.int64)
+                words = np.frombuffer(batch.column(1)[i].as_py(), dtype="<u2").astype(np.uint64)
                 places = batch.column(2)[i].values.to_numpy()
-                np.add.at(change, np.clip(places - WIDTH + 1, 0, n), 1)
-                np.add.at(change, np.clip(places + 1, 0, n), -1)
-                at = np.flatnonzero(np.cumsum(change[:n]) > 0)
-                hashes = span_hashes(data, 2 * at, 2 * (at + WORDS)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(at), key)), pa.array(at, pa.int32())], names=["run", "key", "at"])
-
-    return coded.select("key", "codes", "places").mapInArrow(run, "run long, key long, at int")
+                known = np.zeros(len(words) + 1, dtype=np.int64)
+                for s in batch.column(3)[i].as_py() or ():
+                    known[s["first_word"] : s["end_word"]] = 1
+                known = np.concatenate([[0], np.cumsum(known)])
+                places = places[known[places + ANCHOR] - known[places] < ANCHOR]
+                for size in (ALIKE, WORDS) if len(places) else ():
+                    n = len(words) - size + 1
+                    if n <= 0:
+                        continue
+                    change = np.zeros(n + 1, dtype=np.int64)
+                    np.add.at(change, np.clip(places + ANCHOR - size, 0, n), 1)
+                    np.add.at(change, np.clip(places + 1, 0, n), -1)
+                    at = np.flatnonzero(np.cumsum(change[:n]) > 0)
+                    found = run_hashes(words, size)[at].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(at), key)), pa.array(at, pa.int32())], names=["run", "key", "at"])
+
+    return open_places.select("key", "codes", "places", "spans").mapInArrow(run, "run long, key long, at int")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,18 +247,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null ids take part; null, empty and short texts have no passages; other columns are ignored.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = windows(keyed)
-    groups = found.groupBy("sig").agg(F.min("key").alias("source"), F.max("key").alias("most"), F.min_by("at", "key").alias("source_at"), F.count("*").alias("n")).where("source < most").drop("most")
-    room = f"least(at >> 8 & 255, source_at >> 8 & 255) + least(at & 255, source_at & 255) + 1 >= {int(WIDTH * SIMILAR)}"
-    shared = found.join(groups, "sig").where(f"key <> source AND (n > 2 OR {room})")
-    shared = written(shared.selectExpr("key", "IF(n > 2, CAST(at >> 16 AS INT), NULL) AS place", f"IF({room}, source, NULL) AS source", f"CAST((source_at >> 16) DIV {BLOCK} AS INT) AS block"))
+    found = windows(keyed).repartition("sig")  # one shuffle for groups and join
+    least = F.min(F.struct("key", "at"))
+    groups = found.groupBy("sig").agg(least.alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).where("least.key < most")
+    room = f"least(at >> 4 & 15, least.at >> 4 & 15) + least(at & 15, least.at & 15) + 1 >= {ALIKE - ANCHOR + 1}"
+    shared = found.join(groups, "sig").selectExpr("key", "IF(n > 2, CAST(at >> 8 AS INT), NULL) AS place", f"IF(key <> least.key AND {room}, least.key, NULL) AS source", f"CAST((least.at >> 8) DIV {BLOCK} AS INT) AS block")
+    shared = written(shared.where("place IS NOT NULL OR source IS NOT NULL"))
     tried = cut(shared.where("source IS NOT NULL").select("key", "source", "block").distinct())
-    parts = compared(tried, codes(keyed))
-    places = written(shared.where("place IS NOT NULL").groupBy("key").agg(F.collect_set("place").alias("places")))
-    coded = written(codes(keyed.join(places, "key", "left_semi").select("doc", "key", "text")))
-    whole = runs(coded.join(places, "key"))
-    groups = whole.groupBy("run").agg(F.min("key").alias("source"), F.min_by("at", "key").alias("source_at"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = whole.join(groups, "run").where("key <> source").selectExpr("key", "source", f"CAST(source_at DIV {BLOCK} AS INT) AS block").distinct()
+    places = shared.where("place IS NOT NULL").groupBy("key").agg(F.collect_set("place").alias("places"))
+    concerned = tried.select("key").union(tried.select("source")).union(shared.where("place IS NOT NULL").select("key")).distinct()
+    coded = written(codes(keyed).join(concerned, "key", "left_semi").dropDuplicates(["key"]))
+    parts = written(compared(tried, coded))
+    spans = parts.groupBy("key").agg(F.collect_list(F.struct("first_word", "end_word")).alias("spans"))
+    whole = runs(coded.join(places, "key").join(spans, "key", "left")).repartition("run")
+    groups = whole.groupBy("run").agg(least.alias("least"), F.max("key").alias("most")).where("least.key < most")
+    pairs = whole.join(groups, "run").where("key <> least.key").selectExpr("key", "least.key AS source", f"CAST(least.at DIV {BLOCK} AS INT) AS block").distinct()
     pairs = cut(pairs.join(tried, ["key", "source", "block"], "left_anti"))
     parts = parts.unionByName(compared(pairs, coded))
     span = F.struct("first_word", "end_word", "source_id", "source_word", F.array("source_id").alias("source_ids"))
@@ -278,10 +280,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` without the repeated passages in its texts; documents that were nothing else go.
 
     Where a passage is cut out, what stands before and after it stays as it is. Documents that repeat
-    nothing, null and empty texts stay untouched.
+    nothing, null and empty texts stay untouched. Columns may have any names. The spans are written first, so that
+    the planner knows their size and texts are shuffled to them only where they are too many to broadcast.
     """
-    spans = repeated_passages(docs, id_col, text_col).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_spans"))
-    marked = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(spans, "_key", "left").drop("_key")
+    own = spared(docs, "_key", "_spans")
+    spans = written(repeated_passages(docs, id_col, text_col).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_spans")))
+    marked = own.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(spans, "_key", "left").drop("_key")
     at, spans_at = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,5 +314,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out = out.filter(pa.array(mask))
             yield out
 
-    docs_columns = docs.columns
-    return marked.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    docs_columns = own.columns
+    return marked.select(*own.columns, "_spans").mapInArrow(run, own.schema).toDF(*docs.columns)

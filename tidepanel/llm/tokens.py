@@ -14,10 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from tidepanel.llm.words import LOWER, SPACE, chunks, find_words, span_hashes
+from tidepanel.llm.words import LOWER, SLICE, SPACE, chunks, find_words, span_hashes
 
 END_ID = 2
-REMEMBERED = 1 << 21  # pieces
+REMEMBERED = 1 << 19  # pieces: some 25 MB
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 _KIND = np.full(256, _OTHER, dtype=np.uint8)
@@ -143,7 +143,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray, most: int = 4 << 20):
+def encode_texts(path: str, data: np.ndarray, offsets: np.ndarray, most: int = SLICE):
     """For slices of the rows: first row, ids, bounds of the rows' ids."""
     for a, b in chunks(offsets, most):
         ids, bounds = encoder(path).encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])

@@ -2,13 +2,14 @@
 
 A word is a maximal run of bytes other than space and ``\\x09-\\x0D``. All functions work on the UTF-8
 bytes of whole texts; a null text counts as the empty one. Memory is bounded by ``chunks``, which cuts
-a column into slices of a few MB (a single longer text makes a slice of its own).
+a column into slices of about a MB (a single longer text makes a slice of its own).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,12 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+SLICE = 1 << 20  # bytes of text worked on at once
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def chunks(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about ``most`` bytes together, one row at least."""
     n, at = len(offsets) - 1, 0
     while at < n:
@@ -71,20 +73,20 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Wor
     return Words(LOWER[data] if lower else data, starts, ends, np.searchsorted(starts, offsets))
 
 
-_powers: dict[str, np.ndarray] = {}
+_LOW = 1 << 12
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(size, base, dtype=np.uint64)
-            table[0] = 1
-            with np.errstate(over="ignore"):
-                np.multiply.accumulate(table, out=table)
-            _powers[name] = table
-    return _powers["up"], _powers["down"]
+@cache
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """``base`` to the powers 0 to 4,095, and to 4,096 times these."""
+    out = []
+    for step in (base, pow(base, _LOW, 1 << 64)):
+        table = np.full(_LOW, step, dtype=np.uint64)
+        table[0] = 1
+        with np.errstate(over="ignore"):
+            np.multiply.accumulate(table, out=table)
+        out.append(table)
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -96,16 +98,56 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, in time linear in the bytes: differences of a prefix polynomial."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _power_table(len(data) + 1)
+def _block_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    low, high = _powers(_BASE)
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    rows = -(-len(data) // _LOW)
     with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
-        h = (prefix[ends] - prefix[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        terms = np.multiply.outer(high[:rows], low).ravel()[: len(data)]
+        terms *= data.astype(np.uint64) + np.uint64(1)
+        np.cumsum(terms, out=prefix[1:])
+        low, high = _powers(_INVERSE)
+        return (prefix[ends] - prefix[starts]) * low[starts & (_LOW - 1)] * high[starts >> 12]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = SLICE) -> np.ndarray:
+    """A 64-bit hash of each byte span, in time linear in the bytes: differences of a prefix polynomial.
+
+    Spans come by ascending starts and ends. They are hashed in blocks of about ``most`` bytes, so memory doesn't
+    grow with a text; a span that is longer than a block is summed up from parts.
+    """
+    out = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        begin = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, begin + most, side="right")))
+        if int(ends[to - 1]) - begin <= most:
+            out[at:to] = _block_hashes(data[begin : ends[to - 1]], starts[at:to] - begin, ends[at:to] - begin)
+        else:  # one long span
+            whole = 0
+            for a in range(begin, int(ends[at]), most):
+                part = data[a : min(a + most, int(ends[at]))]
+                whole += int(_block_hashes(part, np.zeros(1, np.int64), np.array([len(part)]))[0]) * pow(_BASE, a - begin, 1 << 64)
+            out[at] = whole & (2**64 - 1)
+        at = to
+    with np.errstate(over="ignore"):
+        return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of ``n`` of ``words``: runs of the powers of two in ``n``, joined."""
+    size, power, whole, length = 1, words, None, 0
+    with np.errstate(over="ignore"):
+        while True:
+            if n & size:
+                count = max(0, len(words) - length - size + 1)
+                tail = power[length : length + count]
+                whole = tail if whole is None else whole[:count] * np.uint64(0xD1342543DE82EF95) + tail
+                length += size
+            if size * 2 > n:
+                return mix(whole, n)
+            power = power[:-size] * np.uint64((0x9E3779B97F4A7C15 * (2 * size + 1)) & (2**64 - 1) | 1) + power[size:]
+            size *= 2
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +156,9 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.nd
     out = np.concatenate([[0], np.cumsum(counts)])
     if not out[-1]:
         return np.zeros(0, np.uint64), out
-    at = np.arange(out[-1]) - np.repeat(out[:-1], counts) + np.repeat(bounds[:-1], counts)
-    h = np.zeros(out[-1], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h = h * np.uint64(0xD1342543DE82EF95) + words[at + k]
-    return mix(h, n), out
+    whole = np.ones(len(words) - n + 1, dtype=bool)
+    for k in range(1, n):  # runs that would leave their text
+        at = bounds[1:] - k
+        at = at[at >= bounds[:-1]]
+        whole[at[at < len(whole)]] = False
+    return run_hashes(words, n)[whole], out
