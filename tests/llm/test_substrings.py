@@ -134,3 +134,70 @@ def test_shared_passages_with_a_line_that_stands_earlier_in_the_source_too():
     a = b[150:206].copy()
     a[26:31] = np.arange(5)  # one changed word
     assert sub.shared_passages(a, b) == [(0, 56, 150)]
+
+
+def slow_spans(one, other):
+    """Words of ``one`` that lie in a run of 50 words which ``other`` has."""
+    runs = {tuple(other[i : i + 50]) for i in range(len(other) - 49)}
+    return {j for i in range(len(one) - 49) if tuple(one[i : i + 50]) in runs for j in range(i, i + 50)}
+
+
+def test_against_all_pairs_with_common_lines(spark):
+    """Exact passages between common lines of 10 to 45 words: every pair's words are reported by the later document, and only near copies else."""
+    r = np.random.default_rng(8)
+    lines = [words(r, n, f"line{n}x") for n in (10, 14, 20, 30, 40, 45)]
+    texts = []
+    for i in range(90):
+        text = words(r, 40)
+        passage = words(r, 5) + lines[i % 6] + words(r, 52 - len(lines[i % 6])) if i % 3 else []
+        for _ in range(2 if i % 3 else 1):
+            own = words(r, 30) + passage + lines[i % 6] + lines[(i + 1) % 6] + words(r, 30)
+            texts.append(text[: i % 7] + own + (own[:60] if i % 11 == 0 else []))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = defaultdict(set)
+    linked = set()
+    for x in sub.repeated_passages(docs).collect():
+        got[x.doc_id] |= set(range(x.first_word, x.end_word))
+        linked |= {frozenset({x.doc_id, s}) for s in x.source_ids}
+    keys = {r.doc_id: r.key for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) AS key").collect()}
+    n = 0
+    for i, a in enumerate(texts):
+        want = set().union(*(slow_spans(a, b) for j, b in enumerate(texts) if keys[j] < keys[i]))
+        assert want <= got[i], i
+        n += bool(want)
+    assert n > 30
+    for pair in linked:
+        i, j = pair
+        assert slow_spans(texts[i], texts[j]) or len(set(zip(*(texts[i][k:] for k in range(5)))) & set(zip(*(texts[j][k:] for k in range(5))))) >= 36
+
+
+def test_near_copies_between_which_an_earlier_document_has_a_part(spark):
+    """A word changed amid 60, of which all documents hold 20 or 24 in the middle of the longer half."""
+    r = np.random.default_rng(9)
+    for size in (20, 24):
+        part, rows = words(r, size, "part"), []
+        for i in range(40):
+            passage = words(r, 4) + part + words(r, 60 - size)
+            changed = passage[:31] + ["changed"] + passage[32:]
+            rows += [(2 * i, " ".join(words(r, 60) + passage + words(r, 60))), (2 * i + 1, " ".join(words(r, 60) + changed + words(r, 60)))]
+        out = sub.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {x.doc_id // 2 for x in out if x.first_word <= 60 and x.end_word >= 120} == set(range(40))
+
+
+def test_a_text_that_repeats_a_pair_of_words(spark):
+    r = np.random.default_rng(10)
+    rows = [(i, " ".join(["tick tock"] * int(r.integers(20, 400)) + words(r, 60))) for i in range(60)]
+    out = sub.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({x.doc_id for x in out}) == sum(len(t.split()) >= 110 for _, t in rows) - 1
+    found = sub.windows(spark.createDataFrame(rows, "key long, text string"))
+    assert found.groupBy("sig", "key").count().where("count > 1").isEmpty()
+
+
+def test_columns_with_any_names(spark):
+    r = np.random.default_rng(11)
+    passage = words(r, 60)
+    rows = [(i, " ".join(words(r, 20) + passage), 1, 2, 3) for i in range(3)] + [(9, None, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int, _spans int, __KEY int")
+    out = sub.without_repeats(docs)
+    assert out.columns == docs.columns and {(x["_key"], x["_spans"], x["__KEY"]) for x in out.collect()} == {(1, 2, 3)}
+    assert sum(" ".join(passage) in (x.text or "") for x in out.collect()) == 1

@@ -11,7 +11,8 @@ at least 36 m shingles are alike (and 41 of 46 with one), in m + 1 runs. The lon
 
 An interval join pairs each window with the first document's that has its signature, if both windows, aligned at their
 least anchors, have room for such a run. What is paired is verified on the words around it. The first document may hold
-only a part of what two later ones share. So where three windows or more have a signature, those that no verified passage
+only a part of what two later ones share. So where three documents or more have a signature, or one
+repeats it, those that no verified passage
 covers go on: their runs of 25 and of 50 words around the anchor are grouped by a hash of the whole run, and each meets the
 first document that has it. So a passage of 50 words that is exactly alike is always found, and near copies are unless an
 earlier document holds each of the runs of 25 words that they share, without holding the passage.
@@ -83,7 +84,11 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """(``sig``, ``key``, ``at``): signature, document, and place << 8 | room to the left << 4 | to the right."""
+    """(``sig``, ``key``, ``at``): signature, document, and place << 9 | repeated << 8 | room to the left << 4 | to the right.
+
+    A document has one row for each signature, the leftmost place's, with a mark if others repeat it: what a text
+    repeats without end makes no large group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,8 +101,10 @@ def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
                     keys = mix(anchors, 101 + k)
                     left, place, right = compact_windows(keys, bounds)
                     doc = np.searchsorted(bounds, place, side="right") - 1
-                    at = ((place - bounds[doc]) << 8) | (place - left << 4) | (right - place)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[place].view(np.int64)), pa.array(names[a:b][doc]), pa.array(at)], names=["sig", "key", "at"])
+                    with np.errstate(over="ignore"):
+                        _, i, often = np.unique(keys[place] + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_counts=True)
+                    at = (place[i] - bounds[doc[i]]) << 9 | (often > 1).astype(np.int64) << 8 | (place[i] - left[i]) << 4 | (right[i] - place[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[place[i]].view(np.int64)), pa.array(names[a:b][doc[i]]), pa.array(at)], names=["sig", "key", "at"])
 
     return docs.select("key", "text").mapInArrow(run, "sig long, key long, at long")
 
@@ -119,8 +126,7 @@ def codes(docs: DataFrame) -> DataFrame:
 
 
 def _shingles(raw: bytes) -> np.ndarray:
-    words = np.frombuffer(raw, dtype="<u2").astype(np.uint64)
-    return shingle_hashes(words, np.array([0, len(words)]), SHINGLE)[0]
+    return run_hashes(np.frombuffer(raw, dtype="<u2").astype(np.uint64), SHINGLE)
 
 
 def shared_passages(a: np.ndarray, b: np.ndarray, width: int = WIDTH, similar: float = SIMILAR) -> list[tuple[int, int, int]]:
@@ -157,6 +163,9 @@ def shared_passages(a: np.ndarray, b: np.ndarray, width: int = WIDTH, similar: f
         if ia[e - 1] - ia[s] + 1 < width:
             continue
         ib = aligned(s, e)
+        if ia[e - 1] - ia[s] == ib[-1] - ib[0] == e - s - 1 and (e - s < 3 or (np.diff(ib) == 1).all()):  # alike
+            out.append((int(ia[s]), int(ia[e - 1]) + 1, int(ib[0])))
+            continue
         mine = np.unique(a[ia[s] : ia[e - 1] + 1])
         theirs = np.unique(b[ib.min() : ib.max() + 1])
         both = len(np.intersect1d(mine, theirs, assume_unique=True))
@@ -207,7 +216,7 @@ def compared(pairs: DataFrame, coded: DataFrame) -> DataFrame:
 
 
 def runs(open_places: DataFrame) -> DataFrame:
-    """(``run``, ``key``, ``at``): hash and first word of each run of ``ALIKE`` or ``WORDS`` words around an anchor that no span covers.
+    """(``run``, ``key``, ``at``): hash and leftmost first word of each run of ``ALIKE`` or ``WORDS`` words around an anchor that no span covers.
 
     ``open_places`` has (``key``, ``codes``, ``places``, ``spans``): where the anchors begin, and passages that are known.
     """
@@ -216,7 +225,8 @@ def runs(open_places: DataFrame) -> DataFrame:
         for batch in batches:
             for i, key in enumerate(batch.column(0).to_pylist()):
                 words = np.frombuffer(batch.column(1)[i].as_py(), dtype="<u2").astype(np.uint64)
-                places = batch.column(2)[i].values.to_numpy()
+                anchors = run_hashes(words, ANCHOR)
+                places = np.flatnonzero(np.isin(anchors, anchors[batch.column(2)[i].values.to_numpy()]))  # repeated ones too
                 known = np.zeros(len(words) + 1, dtype=np.int64)
                 for s in batch.column(3)[i].as_py() or ():
                     known[s["first_word"] : s["end_word"]] = 1
@@ -230,7 +240,8 @@ def runs(open_places: DataFrame) -> DataFrame:
                     np.add.at(change, np.clip(places + ANCHOR - size, 0, n), 1)
                     np.add.at(change, np.clip(places + 1, 0, n), -1)
                     at = np.flatnonzero(np.cumsum(change[:n]) > 0)
-                    found = run_hashes(words, size)[at].view(np.int64)
+                    found, first = np.unique(run_hashes(words, size)[at].view(np.int64), return_index=True)
+                    at = at[first]
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(at), key)), pa.array(at, pa.int32())], names=["run", "key", "at"])
 
     return open_places.select("key", "codes", "places", "spans").mapInArrow(run, "run long, key long, at int")
@@ -249,9 +260,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = _keyed(docs, id_col, text_col)
     found = windows(keyed).repartition("sig")  # one shuffle for groups and join
     least = F.min(F.struct("key", "at"))
-    groups = found.groupBy("sig").agg(least.alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).where("least.key < most")
-    room = f"least(at >> 4 & 15, least.at >> 4 & 15) + least(at & 15, least.at & 15) + 1 >= {ALIKE - ANCHOR + 1}"
-    shared = found.join(groups, "sig").selectExpr("key", "IF(n > 2, CAST(at >> 8 AS INT), NULL) AS place", f"IF(key <> least.key AND {room}, least.key, NULL) AS source", f"CAST((least.at >> 8) DIV {BLOCK} AS INT) AS block")
+    groups = found.groupBy("sig").agg(least.alias("least"), F.max("key").alias("most"), ((F.count("*") > 2) | F.bool_or(F.expr("at & 256 > 0"))).alias("many")).where("least.key < most")
+    room = f"((at | least.at) & 256 > 0 OR least(at >> 4 & 15, least.at >> 4 & 15) + least(at & 15, least.at & 15) + 1 >= {ALIKE - ANCHOR + 1})"
+    shared = found.join(groups, "sig").selectExpr("key", "IF(many, CAST(at >> 9 AS INT), NULL) AS place", f"IF(key <> least.key AND {room}, least.key, NULL) AS source", f"CAST((least.at >> 9) DIV {BLOCK} AS INT) AS block")
     shared = written(shared.where("place IS NOT NULL OR source IS NOT NULL"))
     tried = cut(shared.where("source IS NOT NULL").select("key", "source", "block").distinct())
     places = shared.where("place IS NOT NULL").groupBy("key").agg(F.collect_set("place").alias("places"))

@@ -136,6 +136,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: in
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of ``n`` of ``words``: runs of the powers of two in ``n``, joined."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
     size, power, whole, length = 1, words, None, 0
     with np.errstate(over="ignore"):
         while True:
