@@ -73,3 +73,36 @@ def test_columns_named_like_the_operators_own(spark):
     rows = out.collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in mixing.mixed(plain).collect())
     assert all(r["_mix"] == r.doc_id and (r["_edge"], r["_MORE"], r.bucket, r.source_size, r.s, r["__mix"]) == ("e", 1, 2, 3, 4, 5) for r in rows)
+
+
+def test_the_weight_follows_the_labels(spark):
+    """Of a good and a bad labelled document the good one weighs more in at least nine pairs of ten."""
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.01"
+    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0))
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", mixing.quality_weight(size, F.col("text")).alias("w"))
+    rows = docs.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    good, bad = [r.w for r in rows if r.quality], [r.w for r in rows if not r.quality]
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) > 0.9 * len(good) * len(bad)
+    assert all(0.05 <= w <= 1 for w in good + bad)
+
+
+def test_query_against_the_definition(spark):
+    from tidepanel.llm.queries import op3_mixing
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    out = op3_mixing(spark, d).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in docs.items()}
+    totals = defaultdict(int)
+    for i, r in docs.items():
+        totals[r.source] += sizes[i]
+    want = slow_targets(totals)
+    taken = defaultdict(int)
+    for r in out:
+        s = docs[r.doc_id].source
+        assert (r.size, r.source_size) == (sizes[r.doc_id], totals[s]) and abs(r.target - want[s]) < 1e-6 and r.taken <= 2 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= max(sizes[i] for i, r in docs.items() if r.source == s) / 2 + 1e-6 for s in totals)

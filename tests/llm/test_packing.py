@@ -45,7 +45,7 @@ def test_windows_are_full_and_hold_each_token_once(lengths):
             packer.pack()
     packer.finish()
     seen = defaultdict(list)
-    for size, pieces in packer.drain():
+    for size, pieces in (w for group in packer.drain(last=True) for w in group):
         assert sum(p.length for p in pieces) == size and (size in TIERS or size & (size - 1) == 0)
         for p in pieces:
             seen[p.document.id] += range(p.start, p.start + p.length)
@@ -79,3 +79,33 @@ def test_query_digest(spark):
     ids = dict(zip(texts, reference_ids(list(texts.values()))))
     assert all(zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id]) for r in out)
     assert sum(r.length for r in out) == sum(map(len, ids.values()))
+
+
+def test_step_groups_are_balanced():
+    r = np.random.default_rng(0)
+    packer, groups = Packer(), []
+    for i, n in enumerate(r.integers(1, 3000, 2000)):
+        packer.add(Document(i, np.arange(n)))
+        if i % 100 == 99:
+            packer.pack()
+            groups += packer.drain()
+    assert all(sum(size for size, _ in g) == 65536 and len({size for size, _ in g}) == 1 for g in groups)
+    packer.finish()
+    last = [sum(size for size, _ in g) for g in packer.drain(last=True)]
+    uneven = [n for n in last if n != 65536]
+    assert len(groups) > 20 and len(uneven) <= 4 and max(uneven) <= 65536 + 4096 and max(uneven) - min(uneven) <= 4096
+    assert sum(last) + 65536 * len(groups) == sum(r2 for r2 in np.random.default_rng(0).integers(1, 3000, 2000))
+    assert list(packer.drain(last=True)) == []
+
+
+def test_a_long_text_over_many_slices_in_bounded_memory():
+    import resource
+
+    text = np.frombuffer(("plain words of some length and 12 more\n" * 30000).encode(), dtype=np.uint8)
+    data = np.tile(text, 14)  # 16 MB, one text
+    encoder = Encoder(default_path())
+    one, _ = encoder.encode(text, np.array([0, len(text)]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids, bounds = encoder.encode(data, np.array([0, len(data)]))
+    assert len(ids) == bounds[1] == 14 * (len(one) - 1) + 1 and (ids[: len(one) - 1] == one[:-1]).all() and (ids[-len(one) :] == one).all()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100 * len(data) // 1024

@@ -65,3 +65,23 @@ def test_every_stage_against_its_definition(spark, tmp_path):
 def test_run_gives_the_packed_rows(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert out.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "window", "step_group", "ids"] and out.count() > 0
+
+
+def test_stages_with_odd_rows_and_names(spark, tmp_path):
+    base = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (3, "", "en", "src0", 0), (3, "", "en", "src0", 0), (4, None, "en", None, 7), (4, "word " * 30000, "en", "src1", 150000)], base.schema)
+    own = ("_score", "_kept", "_copy", "_key", "_spans", "_mix", "_edge", "_more", "key", "at", "id")
+    docs = base.unionByName(odd).selectExpr("*", *(f"{k} AS {c}" for k, c in enumerate(own)))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{k}")
+        for r in spark.read.parquet(f"{tmp_path}/{k}").collect():
+            assert tuple(r[c] for c in own) == tuple(range(len(own))), name
+        assert stage(spark, docs.limit(0), DIR).count() == 0
+    assert corpus_pipeline.packing(spark, docs, DIR).count() > 0
+
+
+def test_a_table_without_lengths(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "x")], "doc_id long, text string, source string")
+    assert corpus_pipeline.substring_dedup(spark, docs, DIR).columns == docs.columns

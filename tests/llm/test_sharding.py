@@ -42,3 +42,63 @@ def test_one_huge_document_and_empty_tables(spark):
     rows = [(1, "x" * 100000), (2, "y"), (3, "z")]
     check(rows, sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert sharding.assign(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def slow_assign(rows, shards):
+    """Shards of (position, id, size) rows: arc by arc, byte by byte of load, first the owners, then clockwise."""
+    points, owners = sharding.ring(shards)
+    arcs = defaultdict(list)
+    for p, i, n in sorted(rows):
+        arcs[next((k for k, q in enumerate(points.tolist()) if q >= p), 0)].append((i, n))
+    total = sum(n for _, _, n in rows)
+    room = [-(-int(total * (1 + sharding.SLACK)) // shards) + 1] * shards
+    parts = {}
+    for a in sorted(arcs):
+        load, s = sum(n for _, n in arcs[a]), int(owners[a])
+        parts[a] = [[min(load, room[s]), s]]
+        room[s] -= parts[a][0][0]
+    for a in sorted(arcs):
+        rest, k = sum(n for _, n in arcs[a]) - parts[a][0][0], a
+        while rest:
+            k = (k + 1) % len(owners)
+            s = int(owners[k])
+            n = min(rest, room[s])
+            if n:
+                parts[a].append([n, s])
+                room[s] -= n
+                rest -= n
+    out = {}
+    for a, docs in arcs.items():
+        ends, at = [], 0
+        for n, s in parts[a]:
+            at += n
+            if n:
+                ends.append((at, s))
+        begin = 0
+        for i, n in docs:
+            out[i] = next((s for e, s in ends if begin + n / 2 <= e), ends[-1][1])
+            begin += n
+    return out
+
+
+def test_against_a_slow_ring_and_with_a_shard_more(spark):
+    rows = [(i, "ü" * (i * 31 % 400)) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    slim = [(r.p, r.doc_id, r.n) for r in docs.selectExpr("xxhash64(doc_id, text) AS p", "doc_id", "octet_length(text) + 1 AS n").collect()]
+    placed = {}
+    for shards in (8, 9):
+        placed[shards] = {r.doc_id: r.shard for r in sharding.assign(docs, shards).collect()}
+        assert placed[shards] == slow_assign(slim, shards)
+    into = sum(placed[9][i] == 8 for i in placed[8])
+    among = sum(placed[9][i] not in (8, placed[8][i]) for i in placed[8])
+    assert 0.07 < into / len(rows) < 0.16 and among < 0.12 * len(rows)
+
+
+def test_query(spark):
+    from tidepanel.llm.queries import op7_consistent_ring
+
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    out = op7_consistent_ring(spark, d).collect()
+    check(rows, out)
+    assert {(r.law, r.grown_shard) for r in out} == {("bytes", None)}

@@ -99,3 +99,24 @@ def test_fingerprint_of_short_and_long_texts(n):
     text = " ".join(f"t{i % 977}" for i in range(n))
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     assert simhash.fingerprints(data, np.array([0, len(data)]))[0] == slow_fingerprint(text)
+
+
+def test_keep_one_with_odd_rows_and_names(spark):
+    rows = [(2, "a b c d", 1, 2), (1, "a b c d", 1, 2), (1, "a b c d", 1, 2), (1, "other words here now", 1, 2), (7, None, 1, 2), (8, "", 1, 2), (None, " ", 1, 2), (None, "alone in the world", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int, _COPY int")
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
+    assert got == [(0, "alone in the world"), (1, "a b c d"), (1, "other words here now"), (7, "")]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_query(spark):
+    from tidepanel.llm.queries import op8_simhash_golay
+
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    prints = {i: slow_fingerprint(t) for i, t in texts.items()}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    want = slow_components(near, prints)
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in op8_simhash_golay(spark, d).collect()} == {(i, f"{p:016x}", want[i]) for i, p in prints.items()}

@@ -17,15 +17,22 @@ from pyspark.sql import functions as F
 from tidepanel.llm.lineage import cut, spared
 
 WORD = r"[^\x20\x09-\x0D]+"
+SYMBOL = r"[!|#$%&*@^~+=<>]"
 WEIGHTS = (3, 1, 2)
 BUCKETS = 256  # for each unit of the key's natural logarithm: at most 0.15 % of a source's documents each
 SMALL = 10_000  # sources up to which their table is broadcast
 
 
 def quality_weight(size: Column, text: Column) -> Column:
-    """1 for a mean word length of six bytes, falling slowly for shorter and longer ones, never below 0.2."""
-    mean = F.octet_length(text) / F.greatest(size, F.lit(1))
-    return F.greatest(F.lit(0.2), 1 / (1 + F.abs(F.ln(F.greatest(mean, F.lit(1.0)) / 6))))
+    """Between 0.05 and 1: of a mean word length near six bytes, and of few symbols that prose doesn't have.
+
+    Without a classifier's score at hand this is what separates prose from junk in built-in functions alone (on the
+    labelled documents of sf0.1 good ones stand above bad ones in 95 % of pairs; see tests/llm/test_mixing.py). Pass
+    another column as ``weight`` where there is a score.
+    """
+    words = F.greatest(size, F.lit(1))
+    length = 1 / (1 + F.abs(F.ln(F.greatest(F.octet_length(text) / words, F.lit(1.0)) / 6)))
+    return F.greatest(F.lit(0.05), length / (1 + 4 * F.regexp_count(text, F.lit(SYMBOL)) / words))
 
 
 def prepare(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", weight: Column | None = None, seed: int = 2026) -> DataFrame:

@@ -4,8 +4,11 @@ A document's whole windows of the longest context are cut off first; its rest go
 (window length) that holds it. Tiers are packed from the longest down: each window takes the longest rest
 of its tier, fills the gap with the longest rests that fit, from shorter tiers too, and at last with a cut
 of a short rest, whose remainder is routed anew. So windows are full. What is left at a partition's end,
-less than one window, becomes windows of the powers of two in its length. Each block's windows then form
-step groups of equal token counts, longest windows first.
+less than one window, becomes windows of the powers of two in its length.
+
+Windows of one length form step groups of 65,536 tokens, carried from block to block until a group is full. What is
+left at a partition's end is dealt to as few groups as hold it, each window to the one with the fewest tokens so far, so
+these differ by one window at most.
 
 Each input partition is packed where it is read: nothing is shuffled, memory is bounded by a block of
 tokens and one document, and a lost task is packed again by itself with the same result.
@@ -13,6 +16,7 @@ tokens and one document, and a lost task is packed again by itself with the same
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -113,9 +117,27 @@ class Packer:
             self.windows.append((size, window))
             left -= size
 
-    def drain(self) -> list[tuple[int, list[Piece]]]:
-        done, self.windows = sorted(self.windows, key=lambda w: -w[0]), []
-        return done
+    def drain(self, step: int = STEP, last: bool = False) -> Iterator[list[tuple[int, list[Piece]]]]:
+        """Step groups: those that are full, and with ``last`` what is left in groups of about equal token counts."""
+        by_length: dict[int, list] = {}
+        for window in self.windows:
+            by_length.setdefault(window[0], []).append(window)
+        self.windows = []
+        for size in sorted(by_length, reverse=True):
+            windows, full = by_length[size], max(1, step // size)
+            while len(windows) >= full:
+                yield windows[:full]
+                del windows[:full]
+            self.windows += windows
+        if last and self.windows:
+            groups: list[list] = [[] for _ in range(-(-sum(w[0] for w in self.windows) // step))]
+            loads = [(0, k) for k in range(len(groups))]
+            for window in self.windows:  # longest first
+                load, k = heapq.heappop(loads)
+                groups[k].append(window)
+                heapq.heappush(loads, (load + window[0], k))
+            self.windows = []
+            yield from groups
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS) -> DataFrame:
@@ -130,19 +152,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     path = tokenizer or default_path()
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
-    def rows(windows, state, id_type) -> pa.RecordBatch:
+    def rows(group, state, id_type) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(9)]
-        done = 0
-        for size, pieces in windows:
+        for size, pieces in group:
             at = 0
             for p in pieces:
                 ids = p.document.ids[p.start : p.start + p.length]
-                for column, value in zip(out, (p.document.id, p.start, p.length, len(p.document.ids), state["next"], at, size, state["group"] + done // STEP, ids.astype("<u4").tobytes())):
+                for column, value in zip(out, (p.document.id, p.start, p.length, len(p.document.ids), state["next"], at, size, state["group"], ids.astype("<u4").tobytes())):
                     column.append(value)
                 at += p.length
             state["next"] += 1
-            done += size
-        state["group"] += -(-done // STEP)
+        state["group"] += 1
         kinds = (id_type, *[pa.int64()] * 7, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "window", "step_group", "ids"])
 
@@ -159,11 +179,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 pending += len(ids)
                 if pending >= BLOCK:
                     packer.pack()
-                    yield rows(packer.drain(), state, id_type)
+                    for group in packer.drain():
+                        yield rows(group, state, id_type)
                     pending = 0
         packer.finish()
-        if packer.windows:
-            yield rows(packer.drain(), state, id_type)
+        for group in packer.drain(last=True):
+            yield rows(group, state, id_type)
 
     out = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, window long, step_group long, ids binary")
     return out.withColumnRenamed("id", id_col)

@@ -22,8 +22,8 @@ from tidepanel.llm.words import chunks, find_words, span_hashes, text_bytes
 PASSAGE = 64  # words
 HASHED = 64
 THRESHOLD = 0.7
-SAMPLE = 4096  # labelled documents fitted on at most
-SAMPLE_PASSAGES = 24  # of each of them at most, evenly spread; scoring uses all
+SAMPLE = 4096  # labelled rows fitted on at most
+SAMPLE_BYTES = 32 << 20  # bytes of whole texts fitted on at most, in all
 
 _KINDS = np.full(256, 9, dtype=np.int64)
 for _k, _chars in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c", ".,", "!?", "|", None, "#$%&*@^~+=<>")):
@@ -146,33 +146,39 @@ class Attention:
         return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ g1, "U": h.T @ g2, "w": (f["a1"] * f["a2"]).T @ ds, "c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Attention:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Attention:
     """A classifier from the labelled rows of ``docs`` outside the held-out quarter (crc32 of the id mod 4 is 2).
 
-    Fits on the ``sample`` labelled documents with the smallest hashed ids, and of each on
-    ``SAMPLE_PASSAGES`` passages at most. Null labels and ids don't count; of a document's labels the
-    largest holds. Without labelled documents all scores are one half.
+    Fits on whole texts: of the labelled rows in the order of their hashed ids and texts the first ``sample``, as far as
+    their texts have ``sample_bytes`` bytes together (a row that would exceed them is passed over). Rows that are alike in id and
+    text count once. Null labels and ids don't count; of a document's labels the largest holds. Without labelled
+    documents all scores are one half.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2)
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("n")).distinct()
+    first = rows.join(known, "id").select(F.col("id").cast("string").alias("id"), "h", "n", F.col("y").cast("double").alias("y")).orderBy(F.xxhash64("id"), "id", "h").limit(sample).collect()
+    chosen, left = [], sample_bytes
+    for r in first:
+        if r.n <= left:
+            chosen.append((r.id, r.h, r.y))
+            left -= r.n
+    model = Attention()
+    if not chosen:
+        return model
+    chosen = docs.sparkSession.createDataFrame(chosen, "id string, h long, y double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for a, b in chunks(offsets):
                 x, bounds = passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                bags = []
-                for s, e in zip(bounds, bounds[1:]):
-                    take = np.unique(np.linspace(s, e - 1, min(e - s, SAMPLE_PASSAGES)).astype(int))
-                    bags.append(x[take].astype("<f2").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", F.col("id").cast("string").alias("id"), F.col("y").cast("double").alias("y"))
-    got = rows.mapInArrow(run, "id string, y double, bag binary").toPandas()
-    model = Attention()
-    if not len(got):
-        return model
-    got = got.sort_values(["id", "bag"])
+                bags = pa.array([x[s:e].astype("<f2").tobytes() for s, e in zip(bounds, bounds[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (1, 2, 3)), bags], names=["id", "h", "y", "bag"])
+
+    texts = docs.select(text.alias("text"), F.col(id_col).cast("string").alias("id"), F.xxhash64(text).alias("h")).join(F.broadcast(chosen), ["id", "h"])
+    got = texts.dropDuplicates(["id", "h"]).select("text", "id", "h", "y").mapInArrow(run, "id string, h long, y double, bag binary").toPandas().sort_values(["id", "h"])
     bags = [np.frombuffer(b, dtype="<f2").reshape(-1, FEATURES).astype(np.float32) for b in got.bag]
     bounds = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
     return model.fit(np.concatenate(bags), bounds, got.y.to_numpy(dtype=np.float64))

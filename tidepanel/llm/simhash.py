@@ -60,8 +60,8 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(``id_col``, ``fp`` long): the SimHash of each whole text.
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``id_col``, ``fp`` long, the columns ``keep``): the SimHash of each whole text.
 
     Words are maximal runs without space and \\x09-\\x0D, A-Z lowered; shingles of ``shingle`` words with
     repeats, joined by one space (a shorter text is one shingle); a bit is set if it is in over half of
@@ -73,10 +73,11 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             data, offsets = text_bytes(batch.column(1))
             for a, b in chunks(offsets):
                 fp = fingerprints(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), *(batch.column(2 + i).slice(a, b - a) for i in range(len(keep)))], names=["id", "fp", *keep])
 
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col), *keep)
+    kinds = ", ".join([f"id {slim.schema[0].dataType.simpleString()}", "fp long", *(f"{c} {slim.schema[c].dataType.simpleString()}" for c in keep)])
+    return slim.mapInArrow(run, kinds).withColumnRenamed("id", id_col)
 
 
 @cache
@@ -141,8 +142,8 @@ def links(classes: DataFrame) -> DataFrame:
     return stored.join(looked, "key").where("a < b AND bit_count(a ^ b) <= 2").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ``fp`` long, ``component_id``) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``id_col``, ``fp`` long, ``component_id``, the columns ``keep``) for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable over fingerprints that differ in at most two bits; equal
     fingerprints are one vertex, so copies are never paired with each other. Rows without an id take part
@@ -150,13 +151,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows; an empty table gives no rows; further columns are ignored.
     """
     kind = docs.select(id_col).schema[0].dataType
-    prints = cut(with_fingerprints(docs, id_col, text_col))
+    prints = cut(with_fingerprints(docs, id_col, text_col, keep=keep))
     classes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first")))
     reach = components(links(classes))
     joined = classes.join(reach, F.col("fp") == F.col("id"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("first").alias("smallest"))
     label = joined.join(smallest, "component").select("fp", F.col("smallest").cast(kind).alias("component_id"))
-    return prints.join(label, "fp").select(id_col, "fp", "component_id")
+    return prints.join(label, "fp").select(id_col, "fp", "component_id", *keep)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -165,10 +166,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows of the kept id one stays for each text. A row without an id stays only if its group has no id.
     Other columns may have any names; an empty table stays empty.
     """
-    marked = cut(near_duplicates(docs).where("doc_id = component_id OR component_id IS NULL").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")))
-    own = spared(docs, "_kept", "_copy")
-    kept = own.join(marked.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if not marked.where("_rows > 1").isEmpty():
-        copy = F.struct(F.xxhash64("text"), F.length("text"))
-        kept = kept.withColumn("_copy", copy).dropDuplicates(["doc_id", "_copy"]).drop("_copy")
-    return kept.toDF(*docs.columns)
+    own = spared(docs, "_copy", "_kept", "_hash").withColumn("_copy", F.xxhash64(F.lit(SEED), "text"))
+    one = near_duplicates(own, keep=("_copy",)).where("doc_id = component_id OR component_id IS NULL")
+    one = cut(one.groupBy(F.col("doc_id").alias("_kept"), F.col("_copy").alias("_hash")).agg(F.count("*").alias("_rows")))
+    kept = own.join(one.select("_kept", "_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_copy") == F.col("_hash")), "left_semi")
+    if not one.where("_rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_copy"])
+    return kept.drop("_copy").toDF(*docs.columns)
