@@ -85,6 +85,17 @@ def test_graph_recall_on_unclustered_vectors():
     assert np.mean([len(set(p[:20]) & set(t)) / 20 for p, t in zip(pool.tolist(), best.tolist())]) > 0.9
 
 
+def test_graph_recall_on_a_full_shard():
+    r = np.random.default_rng(6)
+    base = r.standard_normal((graph.SHARD // 8, 64))
+    x = (np.repeat(base, 8, axis=0) + 0.6 * r.standard_normal((graph.SHARD, 64))).astype(np.float32)
+    g, start = graph.build(graph.lift(x))
+    q = x[::64]
+    pool, _ = graph.beam_search(graph.lift(x), g, start, np.pad(q, ((0, 0), (0, 1))))
+    best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    assert np.mean([len(set(p[:20]) & set(t)) / 20 for p, t in zip(pool.tolist(), best.tolist())]) > 0.9
+
+
 def test_nearest_matches_brute_force(spark):
     rows = [r[:2] for r in clustered(1)] + [r[:2] for r in ODD] + [(None, clustered(1)[0][1]), (40, clustered(1)[40][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int").repartition(4)
@@ -105,3 +116,27 @@ def test_nearest_matches_brute_force(spark):
         total += len(true)
     assert hits >= 0.97 * total
     assert graph.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_queries(spark):
+    """The registered queries on the smallest table, against all pairs."""
+    from tidepanel.llm.queries import op2_pruned_graph, op5_iterative_quantisation
+
+    d = "/root/testdata/sf0.001"
+    rows = {r.vec_id: r for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    ok = {i: np.float64(np.float32(r.embedding)) for i, r in rows.items() if usable(r.embedding)}
+    got = defaultdict(list)
+    for r in sorted(op2_pruned_graph(spark, d).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert set(got) == {i for i in ok if i % 20 == 0}
+    true = {i: sorted((-float(ok[j] @ ok[i]), j) for j in ok if j != i)[:20] for i in got}
+    assert sum(len({j for _, j in true[i]} & {j for j, _ in got[i]}) for i in got) >= 0.97 * sum(map(len, true.values()))
+    assert all(abs(s - float(ok[j] @ ok[i])) < 1e-9 for i in got for j, s in got[i])
+    links = defaultdict(set)
+    unit = {i: v / np.sqrt(v @ v) for i, v in ok.items()}
+    for i in ok:
+        links[i] |= {j for j in ok if j != i and rows[i].label is not None and rows[i].label == rows[j].label and unit[i] @ unit[j] >= 0.93}
+    out = {r.vec_id: r for r in op5_iterative_quantisation(spark, d).collect()}
+    assert out.keys() == rows.keys()
+    assert sum(r.n_links for r in out.values()) >= 0.98 * sum(map(len, links.values()))
+    assert all(r.n_links <= len(links[i]) and r.kept == (r.component_id == i) for i, r in out.items())
