@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tidepanel.llm import graph, itq
 
@@ -57,21 +58,41 @@ def test_quantised_links_match_brute_force(spark):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_of_links_at_the_threshold():
-    r = np.random.default_rng(4)
-    x = r.standard_normal((3000, 64))
+def near_pairs(x, r, cosine=0.93):
+    """Unit vectors at the cosine from those of ``x``."""
     noise = r.standard_normal(x.shape)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
     noise -= (noise * x).sum(1, keepdims=True) * x
     noise /= np.linalg.norm(noise, axis=1, keepdims=True)
-    y = 0.93 * x + np.sqrt(1 - 0.93**2) * noise
-    turn = itq.Rotation(x)
+    return cosine * x + np.sqrt(1 - cosine**2) * noise
+
+
+@pytest.mark.parametrize(("shared", "n"), [(0.0, 3000), (0.0, 1 << 20), (0.5, 3000), (0.7, 3000), (0.95, 3000)])
+def test_recall_of_links_at_the_threshold(shared, n):
+    """``shared`` is the length of a mean that all vectors have in common, ``n`` the vectors that the layout is made for."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.sqrt(1 - shared**2) * x
+    x[:, 0] += shared
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = near_pairs(x, r)
+    width, tables, near = itq.layout(n, itq.Rotation(x, 1, 0).flip)
+    turn = itq.Rotation(x, max(64, width * tables))
     a, b = turn.codes(x), turn.codes(y)
-    met = np.zeros(len(x), dtype=bool)
-    for (p, _), (q, _) in zip(itq.table_parts(a), itq.table_parts(b)):
-        met |= np.bitwise_count(p ^ q) <= 1
-    near = np.bitwise_count(a ^ b) <= itq.NEAR
-    assert (met & near).mean() > 0.95 and 0.4 < np.unpackbits(a.view(np.uint8)).mean() < 0.6
+    met = (itq.table_parts(a, width, tables) == itq.table_parts(b, width, tables)).any(axis=1)
+    close = np.bitwise_count(itq.first_bits(a) ^ itq.first_bits(b)) <= near
+    assert (met & close).mean() > 0.95 and (shared > 0.9 or 0.4 < a.mean() < 0.6) and tables < 100
+
+
+def test_buckets_do_not_grow_with_the_vectors():
+    r = np.random.default_rng(12)
+    shares = []
+    for n in (1 << 10, 1 << 14):
+        x = r.standard_normal((n, 64))
+        width, tables, _ = itq.layout(n, 0.12)
+        parts = itq.table_parts(itq.Rotation(x[:4096], width * tables).codes(x), width, tables)
+        shares.append(np.mean([np.bincount(np.unique(parts[:, t], return_inverse=True)[1]).max() for t in range(tables)]))
+    assert shares[1] < 2.5 * shares[0] and itq.layout(1 << 14, 0.12)[0] == 14
 
 
 def test_graph_recall_on_unclustered_vectors():

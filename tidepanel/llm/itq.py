@@ -1,12 +1,15 @@
 """Embedding near-duplicates by iterative quantisation.
 
 Unit vectors, centred and rotated so that the signs of their coordinates lose least, become binary codes.
-Codes are cut into the tables of a multi-index: two vectors are candidates if, in some table, their parts
-differ in one bit at most. Candidates with close codes are reranked by the cosine of the original vectors in
-double precision. Equal vectors of one label are one vertex from the start, counted and not paired.
-
-With the default five tables over 64 bits, a pair at the threshold of 0.93 is found with a probability of
-0.97 and more, pairs closer than that almost surely; ``recall`` figures are in the README.
+Codes are cut into the tables of a multi-index: two vectors are candidates if they agree in all bits of some table.
+Candidates whose first 64 bits are close are reranked by the cosine of the original vectors in double precision.
+Equal vectors of one label are one vertex from the start, counted and not paired.
+
+The layout follows the data. A table has about log2(n) bits, n being the largest label's distinct vectors, so a bucket
+doesn't grow with them. There are as many tables as it takes to find a pair at the threshold with a probability of
+``FOUND``, from the angle that such a pair has after centring (where
+a common direction makes up most of the vectors, they aren't centred): closer pairs are found almost surely. Recall figures
+are in the README.
 """
 
 from __future__ import annotations
@@ -21,22 +24,37 @@ from pyspark.sql import functions as F
 from tidepanel.llm.lineage import components, cut
 from tidepanel.llm.vectors import by_length, matrix, sample, usable
 
-BITS = 64
-TABLES = 5
+BITS = 64  # compared before the rerank
+FOUND = 0.98
+CENTRED = 0.2  # bits that differ at most for the mean to be taken away: beyond, vectors are so alike that centring hides the near pairs
 SAMPLE = 16384  # vectors that rotations are learnt from at most
 ROUNDS = 40
 COSINE = 0.93
-NEAR = 22  # bits that codes of candidates differ in at most: over five standard deviations above the mean at 0.93
+
+
+def flips(spread: float, threshold: float = COSINE) -> float:
+    """How likely a bit differs between unit vectors at ``threshold`` whose squared distance from the mean is ``spread``."""
+    return float(np.arccos(np.clip(1 - (1 - threshold) / max(spread, 1e-9), -0.8, 1)) / np.pi)
+
+
+def layout(n: int, flip: float, found: float = FOUND) -> tuple[int, int, int]:
+    """Bits of a table, number of tables, and in how many of 64 bits candidates may differ (five standard deviations above the mean)."""
+    width = int(np.clip(np.ceil(np.log2(max(n, 1))), 8, 40))
+    tables = max(2, int(np.ceil(np.log(1 - found) / np.log1p(-((1 - max(flip, 1e-3)) ** width)))))
+    return width, tables, int(np.ceil(BITS * flip + 5 * np.sqrt(BITS * flip * (1 - flip))))
 
 
 class Rotation:
-    """Codes of unit vectors of one length: ``sign((x - mean) @ turn)``."""
+    """Codes of unit vectors of one length: ``sign((x - mean) @ turn)``; ``flip`` is how likely their bits differ at the threshold."""
 
-    def __init__(self, x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 5):
+    def __init__(self, x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 5, threshold: float = COSINE):
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         d = x.shape[1]
         rng = np.random.default_rng(seed)
         self.mean = x.mean(0) if len(x) > d else np.zeros(d)
+        self.flip = flips(float(np.quantile(((x - self.mean) ** 2).sum(1), 0.1)), threshold) if len(x) > d else flips(1.0, threshold)
+        if self.flip > CENTRED:
+            self.mean, self.flip = np.zeros(d), flips(1.0, threshold)
         _, _, axes = np.linalg.svd((x - self.mean).T @ (x - self.mean))
         blocks = []
         while sum(b.shape[1] for b in blocks) < bits:  # short vectors are rotated more than once
@@ -51,55 +69,47 @@ class Rotation:
         self.turn = np.concatenate(blocks, axis=1)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
+        """Rows of bits."""
         x = x.astype(np.float64)
-        on = (x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean) @ self.turn >= 0
-        return np.packbits(on, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
-
+        return (x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean) @ self.turn >= 0
 
-def learn(vectors: DataFrame, vector_col: str, key: str, most: int = SAMPLE) -> dict[int, Rotation]:
-    """A rotation for each length of the sampled vectors."""
-    return {m.shape[1]: Rotation(m) for m in sample(vectors, vector_col, key, most)}
 
+def first_bits(code: np.ndarray) -> np.ndarray:
+    """The first 64 bits of each code, as one integer."""
+    return np.packbits(code[:, :BITS], axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
-def table_parts(code: np.ndarray, tables: int = TABLES) -> list[tuple[np.ndarray, int]]:
-    """The bits of each table and their number."""
-    edges = [BITS * t // tables for t in range(tables + 1)]
-    return [(((code >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64), b - a) for a, b in zip(edges, edges[1:])]
 
+def table_parts(code: np.ndarray, width: int, tables: int) -> np.ndarray:
+    """The bits of each table as an integer: rows x tables."""
+    bits = code[:, : width * tables].reshape(len(code), tables, width).astype(np.int64)
+    return bits @ (1 << np.arange(width, dtype=np.int64))
 
-def candidates(coded: DataFrame, tables: int = TABLES, near: int = NEAR) -> DataFrame:
-    """Pairs ``a`` < ``b`` of (``id``, ``grp``, ``code``) in one group whose codes meet in a table and are close."""
 
-    def entries(batches: Iterator[pa.RecordBatch], probe: bool) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, grp, code = (batch.column(i).to_numpy() for i in range(3))
-            rows, keys = [], []
-            for t, (part, width) in enumerate(table_parts(code.view(np.uint64), tables)):
-                flips = [0, *(1 << i for i in range(width))] if probe else [0]
-                for f in flips:
-                    rows.append(np.arange(len(ids)))
-                    keys.append((part ^ f) * tables + t)
-            rows, keys = np.concatenate(rows), np.concatenate(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, grp[rows], ids[rows], code[rows])], names=["slot", "grp", "id", "code"])
-
-    kinds = "slot long, grp long, id long, code long"
-    stored = coded.select("id", "grp", "code").mapInArrow(lambda b: entries(b, False), kinds).withColumnsRenamed({"id": "a", "code": "code_a"})
-    probes = coded.select("id", "grp", "code").mapInArrow(lambda b: entries(b, True), kinds).withColumnsRenamed({"id": "b", "code": "code_b"})
-    return stored.join(probes, ["slot", "grp"]).where(f"a < b AND bit_count(code_a ^ code_b) <= {near}").select("a", "b").distinct()
+def candidates(coded: DataFrame, near: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of (``id``, ``grp``, ``code``, ``parts``) in one group whose codes meet in a table and are close."""
+    entries = coded.select("id", "grp", "code", F.posexplode("parts").alias("t", "part"))
+    met = entries.withColumnsRenamed({"id": "a", "code": "code_a"}).join(entries.withColumnsRenamed({"id": "b", "code": "code_b"}), ["t", "part", "grp"])
+    return met.where(f"a < b AND bit_count(code_a ^ code_b) <= {near}").select("a", "b").distinct()
 
 
 def links(classes: DataFrame, threshold: float = COSINE) -> DataFrame:
     """Pairs ``a`` < ``b`` of distinct vectors (``id``, ``grp``, ``v``) in one group with a cosine of at least ``threshold``."""
     spark = classes.sparkSession
-    sent = spark.sparkContext.broadcast(learn(classes, "v", "id"))
+    samples = sample(classes, "v", "id", SAMPLE)
+    flip = max([Rotation(m, bits=1, rounds=0, threshold=threshold).flip for m in samples], default=0.0)
+    largest = classes.groupBy("grp").count().agg(F.max("count")).first()[0] or 1
+    width, tables, near = layout(largest, flip)
+    bits = max(BITS, width * tables)
+    sent = spark.sparkContext.broadcast({m.shape[1]: Rotation(m, bits) for m in samples})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code = np.zeros(len(batch), np.uint64)
+            code, parts = np.zeros(len(batch), np.uint64), np.zeros((len(batch), tables), np.int64)
             for rows, m in by_length(batch.column(2)):
-                rotation = sent.value.get(m.shape[1])
-                code[rows] = (rotation or Rotation(np.eye(m.shape[1])[:1])).codes(m)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code.view(np.int64))], names=["id", "grp", "code"])
+                own = (sent.value.get(m.shape[1]) or Rotation(np.eye(m.shape[1])[:1], bits)).codes(m)
+                code[rows], parts[rows] = first_bits(own), table_parts(own, width, tables)
+            lists = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * tables, parts.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code.view(np.int64)), lists], names=["id", "grp", "code", "parts"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,8 +120,8 @@ def links(classes: DataFrame, threshold: float = COSINE) -> DataFrame:
                 good[rows] = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y))) >= threshold
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    coded = cut(classes.select("id", "grp", "v").mapInArrow(encode, "id long, grp long, code long"))
-    pairs = candidates(coded)
+    coded = cut(classes.select("id", "grp", "v").mapInArrow(encode, "id long, grp long, code long, parts array<long>"))
+    pairs = candidates(coded, near)
     vectors = classes.select("id", "v")
     both = pairs.join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
     return both.mapInArrow(verify, "a long, b long")
