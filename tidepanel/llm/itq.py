@@ -85,11 +85,15 @@ def table_parts(code: np.ndarray, width: int, tables: int) -> np.ndarray:
     return bits @ (1 << np.arange(width, dtype=np.int64))
 
 
-def candidates(coded: DataFrame, near: int) -> DataFrame:
-    """Pairs ``a`` < ``b`` of (``id``, ``grp``, ``code``, ``parts``) in one group whose codes meet in a table and are close."""
+def candidates(coded: DataFrame, near: int, width: int) -> DataFrame:
+    """Pairs ``a`` < ``b`` of (``id``, ``grp``, ``code``, ``parts``) in one group whose codes meet in a table and are close.
+
+    A pair that meets in a table within the first 64 bits isn't made again in later ones.
+    """
     entries = coded.select("id", "grp", "code", F.posexplode("parts").alias("t", "part"))
     met = entries.withColumnsRenamed({"id": "a", "code": "code_a"}).join(entries.withColumnsRenamed({"id": "b", "code": "code_b"}), ["t", "part", "grp"])
-    return met.where(f"a < b AND bit_count(code_a ^ code_b) <= {near}").select("a", "b").distinct()
+    earlier = " OR ".join(f"(t > {t} AND ((code_a ^ code_b) & {((1 << width) - 1 << t * width) - (1 << 64 if (t + 1) * width == BITS else 0)}L) = 0)" for t in range(BITS // width))
+    return met.where(f"a < b AND bit_count(code_a ^ code_b) <= {near} AND NOT ({earlier})").select("a", "b").distinct()
 
 
 def links(classes: DataFrame, threshold: float = COSINE) -> DataFrame:
@@ -121,7 +125,7 @@ def links(classes: DataFrame, threshold: float = COSINE) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     coded = cut(classes.select("id", "grp", "v").mapInArrow(encode, "id long, grp long, code long, parts array<long>"))
-    pairs = candidates(coded, near)
+    pairs = candidates(coded, near, width)
     vectors = classes.select("id", "v")
     both = pairs.join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b").select("a", "b", "va", "vb")
     return both.mapInArrow(verify, "a long, b long")
