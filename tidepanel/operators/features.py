@@ -50,9 +50,8 @@ def calendar(df: DataFrame, ts: str, zone: str = "Europe/Zurich", holidays: Data
 
 
 def temperature_column(names: list[str]) -> str | None:
-    """The column that holds air temperature: known names first, else one that says hourly temperature and no dew point or extreme."""
-    preferred = ("Temperature_mean_hourly", "temperature_mean_hourly", "Temperature", "temperature")
-    for name in preferred:
+    """The column that holds air temperature: known names first, else the first that says hourly temperature and no dew point or extreme."""
+    for name in ("Temperature_mean_hourly", "Temperature_avg_hourly", "Temperature_hourly"):  # fixed values
         if name in names:
             return name
     for name in names:

@@ -13,11 +13,12 @@ def audit(readings: DataFrame, households: DataFrame, weather: DataFrame, steps_
     """One row per household: counts, span, missing and weather-matched shares, and all reasons for exclusion.
 
     ``readings`` has the target ``y`` (maybe null), ``weather`` the steps that have weather, ``season`` the
-    household's ``valid_seasons``. Households without readings are there, too, as missing.
+    household's ``valid_seasons``. A household without readings has no other reason; one whose target is never there has
+    no separate meter. The matched share is that of the observed readings.
     """
     y = finite(F.col("y"))
     matched = readings.join(weather.select(ID, STEP).distinct().withColumn("_m", F.lit(1)), [ID, STEP], "left")
-    seen = matched.groupBy(ID).agg(F.count("*").alias("rows"), F.count(y).alias("observed"), F.min(STEP).alias("first_step"), F.max(STEP).alias("last_step"), F.avg(F.coalesce("_m", F.lit(0)).cast("double")).alias("weather_match_fraction"))
+    seen = matched.groupBy(ID).agg(F.count("*").alias("rows"), F.count(y).alias("observed"), F.min(STEP).alias("first_step"), F.max(STEP).alias("last_step"), F.avg(F.when(y.isNotNull(), F.coalesce("_m", F.lit(0)).cast("double"))).alias("weather_match_fraction"))
     rows = households.join(seen, ID, "left")
     if season is not None:
         rows = rows.join(season, ID, "left")
@@ -26,10 +27,13 @@ def audit(readings: DataFrame, households: DataFrame, weather: DataFrame, steps_
         "rows": F.coalesce("rows", F.lit(0)), "observed": F.coalesce("observed", F.lit(0)), "expected": expected, "usable_days": F.coalesce("observed", F.lit(0)) / steps_per_day,
         "missing_fraction": F.when(expected > 0, 1 - F.col("observed") / expected).otherwise(1.0), "weather_match_fraction": F.coalesce("weather_match_fraction", F.lit(0.0)),
     })
-    checks = {"no_readings": F.col("rows") == 0, "unknown_type": F.col("hp_type").isNull(), "too_few_days": F.col("usable_days") < limits["days"], "too_much_missing": F.col("missing_fraction") > limits["missing"], "weather_mismatch": F.col("weather_match_fraction") < limits["weather"]}
+    checks = {"unknown_hp_type": F.col("hp_type").isNull(), "no_separate_hp_meter": F.col("observed") == 0, "insufficient_days": F.col("usable_days") < limits["days"], "target_missingness": F.col("missing_fraction") > limits["missing"]}
     if season is not None:
-        checks["too_few_seasons"] = F.coalesce("valid_seasons", F.lit(0)) < limits["seasons"]
+        rows = rows.withColumn("valid_seasons", F.coalesce("valid_seasons", F.lit(0)))
+        checks["insufficient_heating_seasons"] = F.col("valid_seasons") < limits["seasons"]
+    checks["weather_match"] = F.col("weather_match_fraction") < limits["weather"]
     reasons = F.array_join(F.array_compact(F.array(*(F.when(c, n) for n, c in checks.items()))), "|")
+    reasons = F.when(F.col("rows") == 0, "missing_meter_file").otherwise(reasons)
     return rows.withColumn("exclusion_reason", reasons).withColumn("eligible", F.col("exclusion_reason") == "")
 
 

@@ -1,8 +1,8 @@
 """Frames that the queries share, over the ``events`` table, and the same as SQL common table expressions.
 
-A household is a twelfth of the users, its load the sum of event values in steps of six hours (``p6``, without
+A household is a group of some twelve users, so their number follows the data (12 at least), its load the sum of event values in steps of six hours (``p6``, without
 gaps) or one hour (``p1``, with gaps); amounts are summed as whole cents, so sums don't depend on their order.
-"Weather" is the mean value of view events, visits are the first two signup steps of a household.
+"Weather" is the mean value of view events, visits are the steps of signups of at least 200.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from tidepanel.operators import conformal, grid, metrics, models, origins, split
 HOUR, SIX = 3_600_000_000, 21_600_000_000
 HISTORY, FORECAST, SEASON, WEEK, HORIZONS = 28, 4, 4, 28, [1, 2, 3, 4]
 LEAST = 100
-HELD = {9: "unseen_validation", 10: "unseen_test", 11: "unseen_test"}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,17 +27,24 @@ def hp(c="household_id"):
     return F.when(F.col(c) % 3 == 0, "GSHP").otherwise("ASHP")
 
 
+def houses(spark, d) -> DataFrame:
+    """One row (``n``): how many households there are."""
+    return table(spark, d, "events").agg(F.greatest(F.lit(12), F.floor((F.max("user_id") + 1) / 12)).cast("long").alias("n"))
+
+
 def events(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select("event_id", "ts", "user_id", "event_type", "props", (F.col("user_id") % 12).alias("household_id"), F.floor(micros("ts") / HOUR).alias("hour"), F.floor(F.col("value") * 100 + 0.5).alias("cents"))
+    e = table(spark, d, "events").crossJoin(F.broadcast(houses(spark, d)))
+    return e.select("event_id", "ts", "user_id", "event_type", "props", (F.col("user_id") % F.col("n")).alias("household_id"), F.floor(micros("ts") / HOUR).alias("hour"), F.floor(F.col("value") * 100 + 0.5).alias("cents"))
 
 
 def readings(spark, d, hours: int = 6) -> DataFrame:
     return events(spark, d).groupBy("household_id", F.floor(F.col("hour") / hours).alias("step")).agg(F.sum("cents").alias("cents"))
 
 
-def roles(spark) -> DataFrame:
-    return spark.createDataFrame([(i, "GSHP" if i % 3 == 0 else "ASHP", HELD.get(i, "train")) for i in range(12)], "household_id long, hp_type string, role string")
+def roles(spark, d) -> DataFrame:
+    ids = houses(spark, d).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("household_id"))
+    twelfth = F.col("household_id") % 12
+    return ids.select("household_id", hp().alias("hp_type"), F.when(twelfth == 9, "unseen_validation").when(twelfth.isin(10, 11), "unseen_test").otherwise("train").alias("role"))
 
 
 @artifact
@@ -65,14 +71,12 @@ def weather(spark, d, hours: int = 6) -> DataFrame:
 
 @artifact
 def household_weather(spark, d) -> DataFrame:
-    e = events(spark, d).where("event_type = 'view' AND hour % 2 = 0")
+    e = events(spark, d).where("event_type = 'view'")
     return e.groupBy("household_id", F.col("hour").alias("step")).agg((F.sum("cents") / F.count("*") / 100.0).alias("temperature"))
 
 
 def visits(spark, d, hours: int = 6) -> DataFrame:
-    e = events(spark, d).where("event_type = 'signup'").select("household_id", F.floor(F.col("hour") / hours).alias("visit_step")).distinct()
-    nth = F.row_number().over(Window.partitionBy("household_id").orderBy("visit_step"))
-    return e.withColumn("_r", nth).where("_r <= 2").drop("_r")
+    return events(spark, d).where("event_type = 'signup' AND cents >= 20000").select("household_id", F.floor(F.col("hour") / hours).alias("visit_step")).distinct()
 
 
 @artifact
@@ -87,7 +91,7 @@ def supervised(spark, d) -> DataFrame:
     panel = grid.causal_fill(panel, "temperature", "causal", 2)
     found = origins.valid_origins(origins.contained(panel, FORECAST), HISTORY, FORECAST)
     rows = origins.supervised(panel, found, HORIZONS, SEASON, WEEK, keep=("path_end", "causal"), future=("temperature", "operational"))
-    rows = rows.join(F.broadcast(roles(spark).drop("hp_type")), "household_id").crossJoin(F.broadcast(cutoffs(spark, d)))
+    rows = rows.join(roles(spark, d).drop("hp_type"), "household_id").crossJoin(F.broadcast(cutoffs(spark, d)))
     rows = rows.withColumn("split", splits.split_label(F.col("origin"), F.col("train_end"), F.col("calibration_end"), F.col("role")))
     late = F.when(F.col("split") == "train", F.col("path_end") > F.col("train_end")).when(F.col("split") == "calibration", F.col("path_end") > F.col("calibration_end")).otherwise(False)
     return rows.where(~late).drop("global_start", "global_end", "role")
@@ -117,7 +121,7 @@ def calibrated(spark, d) -> DataFrame:
 @artifact
 def scales(spark, d) -> DataFrame:
     panel = p6(spark, d).crossJoin(F.broadcast(cutoffs(spark, d).select("train_end")))
-    return metrics.seasonal_scales(panel, roles(spark), F.col("train_end"), SEASON, 8)
+    return metrics.seasonal_scales(panel, roles(spark, d), F.col("train_end"), SEASON, 8)
 
 
 def scored(spark, d) -> DataFrame:
@@ -143,7 +147,7 @@ def upper_rank_sql(n: str, p: float) -> str:
 _LEVELS = (_KEYS, _KEYS[:3], ("model", "horizon"), ("model",), ())
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
-    "ev": ((), f"SELECT event_id, ts, user_id, event_type, props, user_id % 12 AS household_id, epoch_us(ts) // {HOUR} AS hour, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents FROM events"),
+    "ev": ((), f"SELECT event_id, ts, user_id, event_type, props, user_id % (SELECT greatest(12, (max(user_id) + 1) // 12) FROM events) AS household_id, epoch_us(ts) // {HOUR} AS hour, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents FROM events"),
     "r6": (("ev",), "SELECT household_id, hour // 6 AS step, sum(cents) AS cents FROM ev GROUP BY 1, 2"),
     "r1": (("ev",), "SELECT household_id, hour AS step, sum(cents) AS cents FROM ev GROUP BY 1, 2"),
     "p6": (("r6",), f"SELECT household_id, {_HP} AS hp_type, step, coalesce(CAST(cents AS DOUBLE), 0) / 100.0 AS y, 0 AS segment_id, 0 AS originally_missing FROM (SELECT household_id, unnest(generate_series((SELECT min(step) FROM r6), (SELECT max(step) FROM r6))) AS step FROM (SELECT DISTINCT household_id FROM r6)) LEFT JOIN r6 USING (household_id, step)"),
@@ -154,14 +158,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, last_value(y IGNORE NULLS) OVER w AS v0, last_value(CASE WHEN y IS NOT NULL THEN step END IGNORE NULLS) OVER w AS t0,
                 first_value(y IGNORE NULLS) OVER u AS v1, first_value(CASE WHEN y IS NOT NULL THEN step END IGNORE NULLS) OVER u AS t1 FROM runs
               WINDOW w AS (PARTITION BY household_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), u AS (PARTITION BY household_id ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""),
-    "v1": (("ev",), "SELECT household_id, visit_step FROM (SELECT household_id, visit_step, row_number() OVER (PARTITION BY household_id ORDER BY visit_step) AS r FROM (SELECT DISTINCT household_id, hour AS visit_step FROM ev WHERE event_type = 'signup')) WHERE r <= 2"),
+    "v1": (("ev",), "SELECT DISTINCT household_id, hour AS visit_step FROM ev WHERE event_type = 'signup' AND cents >= 20000"),
     "filled": (("short", "v1"), "SELECT s.*, (SELECT count(*) FROM v1 WHERE v1.household_id = s.household_id AND v1.visit_step <= s.step) AS segment_id FROM short s"),
     "seqs": (("filled",), """SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY sequence_id) AS n FROM (SELECT *, household_id || '_' || segment_id || '_' || gap AS sequence_id FROM
         (SELECT *, CAST(sum(CAST(y IS NULL OR originally_missing = 1 AS INT)) OVER (PARTITION BY household_id ORDER BY step) AS BIGINT) AS gap FROM filled) WHERE y IS NOT NULL AND originally_missing = 0)) WHERE n >= 8"""),
-    "hw": (("ev",), "SELECT household_id, hour AS step, CAST(sum(cents) AS DOUBLE) / count(*) / 100.0 AS temperature FROM ev WHERE event_type = 'view' AND hour % 2 = 0 GROUP BY 1, 2"),
+    "hw": (("ev",), "SELECT household_id, hour AS step, CAST(sum(cents) AS DOUBLE) / count(*) / 100.0 AS temperature FROM ev WHERE event_type = 'view' GROUP BY 1, 2"),
     "w6": (("ev",), "SELECT hour // 6 AS step, CAST(sum(cents) AS DOUBLE) / count(*) / 100.0 AS temperature FROM ev WHERE event_type = 'view' GROUP BY 1"),
     "cutoffs": (("p6",), "SELECT global_start, global_end, train_end, train_end + 0.15e0 * (global_end - global_start) AS calibration_end FROM (SELECT min(step) AS global_start, max(step) AS global_end, min(step) + 0.7e0 * (max(step) - min(step)) AS train_end FROM p6)"),
-    "roles": ((), f"SELECT household_id, {_HP} AS hp_type, CASE household_id WHEN 9 THEN 'unseen_validation' WHEN 10 THEN 'unseen_test' WHEN 11 THEN 'unseen_test' ELSE 'train' END AS role FROM (SELECT unnest(generate_series(0, 11)) AS household_id)"),
+    "roles": ((), f"SELECT household_id, {_HP} AS hp_type, CASE household_id % 12 WHEN 9 THEN 'unseen_validation' WHEN 10 THEN 'unseen_test' WHEN 11 THEN 'unseen_test' ELSE 'train' END AS role FROM (SELECT unnest(generate_series(0, (SELECT greatest(12, (max(user_id) + 1) // 12) - 1 FROM events))) AS household_id)"),
     "pos": (("p6", "w6"), f"""SELECT *, last_value(CASE WHEN step % 2 = 0 THEN temperature END IGNORE NULLS) OVER (PARTITION BY household_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS causal
         FROM (SELECT p6.*, w6.temperature, lag(w6.temperature, {SEASON}) OVER w AS operational, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY household_id) AS len, lead(p6.step, {FORECAST}) OVER w AS path_end
               FROM p6 LEFT JOIN w6 USING (step) WINDOW w AS (PARTITION BY household_id ORDER BY p6.step))"""),

@@ -183,10 +183,10 @@ def dedup_truth(spark, d):
     return b.predictions(spark, d).dropDuplicates(["household_id", "target"])
 
 
-@query("household_id:i origin:i horizon:i model:s y_pred:d", b.sql("SELECT p.household_id, p.origin, p.horizon, p.model, p.y_pred FROM pred p WHERE EXISTS (SELECT 1 FROM pred q WHERE q.household_id = p.household_id AND q.origin = p.origin AND q.origin % 5 = 0 AND q.horizon = 1 AND q.split = 'seen_test')", "pred"))
+@query("household_id:i origin:i horizon:i model:s y_pred:d", b.sql("SELECT p.household_id, p.origin, p.horizon, p.model, p.y_pred FROM pred p WHERE EXISTS (SELECT 1 FROM pred q WHERE q.household_id = p.household_id AND q.origin = p.origin AND q.evaluation_temperature_c > 40 AND q.horizon = 1 AND q.split = 'seen_test')", "pred"))
 def common_index_join(spark, d):
     p = b.predictions(spark, d)
-    index = p.where("origin % 5 = 0 AND horizon = 1 AND split = 'seen_test'").select("household_id", "origin").distinct()
+    index = p.where("evaluation_temperature_c > 40 AND horizon = 1 AND split = 'seen_test'").select("household_id", "origin").distinct()
     return p.join(index, ["household_id", "origin"], "left_semi")
 
 
@@ -230,7 +230,7 @@ def _pf(select: str) -> str:
 
 @artifact
 def _sums(spark, d):
-    return portfolio.aggregate(b.calibrated(spark, d).drop("hp_type"), members(spark), 0.9)
+    return portfolio.aggregate(b.calibrated(spark, d).drop("hp_type"), members(spark, d), 0.9)
 
 
 def _bounded(spark, d):
@@ -245,7 +245,7 @@ def portfolio_aggregate(spark, d):
 
 @query("portfolio_id:s rows:i", _pf("SELECT portfolio_id, count(*) AS rows FROM members JOIN cal USING (household_id) GROUP BY 1"))
 def portfolio_semi_agg(spark, d):
-    return members(spark).join(b.calibrated(spark, d), "household_id").groupBy("portfolio_id").agg(F.count("*").alias("rows"))
+    return members(spark, d).join(b.calibrated(spark, d), "household_id").groupBy("portfolio_id").agg(F.count("*").alias("rows"))
 
 
 @query("portfolio_type:s portfolio_size:i model:s horizon:i calibration_rows:i calibration_n:i lower_residual:d upper_residual:d calibration_valid:b", _pf("SELECT * FROM bounds"))
@@ -333,7 +333,7 @@ def shift_profile(spark, d):
 def portfolio_pipeline(spark, d):
     """Membership, aggregation, calibration and thresholds as one chain: rows of each stage."""
     s = _sums(spark, d)
-    stages = {"members": members(spark), "aggregates": s, "corrections": portfolio.residual_bounds(s, 0.2, 10), "thresholds": portfolio.peak_thresholds(s, 0.5)}
+    stages = {"members": members(spark, d), "aggregates": s, "corrections": portfolio.residual_bounds(s, 0.2, 10), "thresholds": portfolio.peak_thresholds(s, 0.5)}
     out = None
     for name, df in stages.items():
         part = df.agg(F.count("*").alias("rows")).withColumn("stage", F.lit(name))
@@ -535,7 +535,7 @@ def household_counts(spark, d):
 
 @query("cohort:s households:i ashp:i gshp:i", b.sql("SELECT cohort, count(*) AS households, count(*) FILTER (hp_type = 'ASHP') AS ashp, count(*) FILTER (hp_type = 'GSHP') AS gshp FROM (SELECT 'all' AS cohort, * FROM roles UNION ALL SELECT CASE WHEN role = 'train' THEN 'train' ELSE 'unseen' END, * FROM roles) GROUP BY 1", "roles"))
 def cohort_table(spark, d):
-    return reports.cohort_table(b.roles(spark))
+    return reports.cohort_table(b.roles(spark, d))
 
 
 @query("primary_id:i delta:d nested_delta:d", "SELECT p_partkey AS primary_id, p_retailprice AS delta, s_acctbal AS nested_delta FROM part LEFT JOIN supplier ON s_suppkey = p_partkey")
@@ -613,7 +613,7 @@ def elastic_net(spark, d):
 @query("household_id:i origin:i horizon:i split:s model:s y_true:d y_pred:d q10:d q50:d q90:d")
 def boosted_quantiles(spark, d):
     rows, names = _encoded(spark, d)
-    return models.BoostedQuantiles(names, iterations=5, depth=3).fit(rows.where("split = 'train'"), rows.where("split = 'unseen_validation'")).predict(rows.where("split LIKE '%test'"))
+    return models.BoostedQuantiles(names).fit(rows.where("split = 'train'"), rows.where("split = 'unseen_validation'")).predict(rows.where("split LIKE '%test'"))
 
 
 @query("trained_on:s hp_type:s mae:d")
@@ -646,4 +646,4 @@ def rolling_validation(spark, d):
 def permutation_importance(spark, d):
     rows, names = _encoded(spark, d)
     model = models.ElasticNet(names).fit(rows.where("split = 'train'"))
-    return models.permutation_importance(model.predict, rows.where("split LIKE '%test'"), names[:2])
+    return models.permutation_importance(model.predict, rows.where("split LIKE '%test'"), names)

@@ -16,9 +16,9 @@ W = "PARTITION BY household_id ORDER BY step"
 # ---- sources and dimensions ----
 
 
-@query("household_id:i name:s events:i", "SELECT coalesce(c_custkey, u) AS household_id, c_name AS name, n AS events FROM (SELECT * FROM customer WHERE c_custkey <= 100) FULL JOIN (SELECT user_id AS u, count(*) AS n FROM events GROUP BY 1) ON c_custkey = u")
+@query("household_id:i name:s events:i", "SELECT coalesce(c_custkey, u) AS household_id, c_name AS name, n AS events FROM customer FULL JOIN (SELECT user_id AS u, count(*) AS n FROM events GROUP BY 1) ON c_custkey = u")
 def meta_outer_join(spark, d):
-    left = b.table(spark, d, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("household_id"), F.col("c_name").alias("name"))
+    left = b.table(spark, d, "customer").select(F.col("c_custkey").alias("household_id"), F.col("c_name").alias("name"))
     right = b.table(spark, d, "events").groupBy(F.col("user_id").alias("household_id")).agg(F.count("*").alias("events"))
     return left.join(right, "household_id", "full")
 
@@ -38,7 +38,7 @@ def meter_dedup_last(spark, d):
 
 @query("household_id:i rows:i temperature:d", b.sql("SELECT household_id, count(*) AS rows, avg(temperature) AS temperature FROM (SELECT r.household_id, w.temperature FROM roles r JOIN hw w ON w.household_id = try_cast(try_cast(r.household_id || '.0' AS DOUBLE) AS BIGINT)) GROUP BY 1", "roles", "hw"))
 def weather_lookup(spark, d):
-    houses = b.roles(spark).select("household_id", F.concat(F.col("household_id").cast("string"), F.lit(".0")).alias("weather_id"))
+    houses = b.roles(spark, d).select("household_id", F.concat(F.col("household_id").cast("string"), F.lit(".0")).alias("weather_id"))
     weather = b.household_weather(spark, d).withColumnRenamed("household_id", "w")
     return houses.join(weather, F.col("weather_id").try_cast("double").try_cast("bigint") == F.col("w")).groupBy("household_id").agg(F.count("*").alias("rows"), F.avg("temperature").alias("temperature"))
 
@@ -397,7 +397,7 @@ def remaining_antijoin(spark, d):
 _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
-@query("household_id:i role:s", f"""WITH c AS (SELECT c_custkey AS household_id, CASE WHEN c_custkey % 3 = 0 THEN 'GSHP' ELSE 'ASHP' END AS hp_type FROM customer WHERE c_custkey <= 63),
+@query("household_id:i role:s", f"""WITH c AS (SELECT c_custkey AS household_id, CASE WHEN c_custkey % 3 = 0 THEN 'GSHP' ELSE 'ASHP' END AS hp_type FROM customer),
       q1 AS (SELECT *, base + CAST(row_number() OVER (ORDER BY rest DESC, hp_type) <= total - sum(base) OVER () AS INT) AS quota FROM (SELECT hp_type, ceil(sum(count(*)) OVER () * 0.2e0 - 1e-9) AS total, floor(ceil(sum(count(*)) OVER () * 0.2e0 - 1e-9) * count(*) / sum(count(*)) OVER ()) AS base, ceil(sum(count(*)) OVER () * 0.2e0 - 1e-9) * count(*) / sum(count(*)) OVER () - floor(ceil(sum(count(*)) OVER () * 0.2e0 - 1e-9) * count(*) / sum(count(*)) OVER ()) AS rest FROM c GROUP BY 1)),
       t AS (SELECT c.*, row_number() OVER (PARTITION BY c.hp_type ORDER BY {_DRAW.format("'2026:' || household_id")}, household_id) <= quota AS held FROM c JOIN q1 USING (hp_type)),
       r AS (SELECT household_id, hp_type FROM t WHERE NOT held),
@@ -405,7 +405,7 @@ _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
       SELECT household_id, 'unseen_test' AS role FROM t WHERE held UNION ALL
       SELECT household_id, CASE WHEN row_number() OVER (PARTITION BY r.hp_type ORDER BY {_DRAW.format("'2027:' || household_id")}, household_id) <= quota THEN 'unseen_validation' ELSE 'train' END FROM r JOIN q2 USING (hp_type)""")
 def stratified_household_split(spark, d):
-    c = b.table(spark, d, "customer").where("c_custkey <= 63").select(F.col("c_custkey").alias("household_id"), b.hp("c_custkey").alias("hp_type"))
+    c = b.table(spark, d, "customer").select(F.col("c_custkey").alias("household_id"), b.hp("c_custkey").alias("hp_type"))
     return splits.stratified_split(c)
 
 
@@ -466,10 +466,19 @@ def shap_sample(spark, d):
     return splits.explanation_sample(b.supervised(spark, d), 30, 100, 5, _KEYS)
 
 
-@query("columns:s chosen:s", "SELECT * FROM (VALUES ('Timestamp,Temperature_mean_hourly', 'Temperature_mean_hourly'), ('a,Air_Temperature_hourly', 'Air_Temperature_hourly'), ('Temperature_dew_hourly,Temperature_min_hourly', NULL)) AS t (columns, chosen)")
+_NAMES = ("Timestamp", "Temperature_mean_hourly", "Temperature_avg_hourly", "Temperature_hourly", "Temperature", "Air_temperature_hourly", "Temperature_dew_hourly", "temperature_MIN_hourly", "Temperature_max_hourly", "Soil_Temperature_Hourly")
+_SET = ", ".join(f"CASE WHEN (p >> {i}) & 1 = 1 THEN '{n}' END" for i, n in enumerate(_NAMES))
+
+
+@query("p:i chosen:s", f"""SELECT p, coalesce(
+      CASE WHEN (p >> 1) & 1 = 1 THEN 'Temperature_mean_hourly' WHEN (p >> 2) & 1 = 1 THEN 'Temperature_avg_hourly' WHEN (p >> 3) & 1 = 1 THEN 'Temperature_hourly' END,
+      list_filter(c, lambda x: contains(lower(x), 'temperature') AND contains(lower(x), 'hourly') AND NOT regexp_matches(lower(x), 'dew|min|max'))[1]) AS chosen
+      FROM (SELECT p, list_filter(CASE WHEN p % 2 = 0 THEN [{_SET}] ELSE list_reverse([{_SET}]) END, lambda x: x IS NOT NULL) AS c FROM (SELECT DISTINCT p_partkey % 1024 AS p FROM part))""")
 def infer_temperature(spark, d):
-    cases = ["Timestamp,Temperature_mean_hourly", "a,Air_Temperature_hourly", "Temperature_dew_hourly,Temperature_min_hourly"]
-    return spark.createDataFrame([(c, features.temperature_column(c.split(","))) for c in cases], "columns string, chosen string")
+    """The column chosen among the names that a part's key selects, in both orders."""
+    sets = [r.p for r in b.table(spark, d, "part").select((F.col("p_partkey") % 1024).alias("p")).distinct().collect()]
+    names = lambda p: [n for i, n in enumerate(_NAMES) if p >> i & 1][:: -1 if p % 2 else 1]
+    return spark.createDataFrame([(p, features.temperature_column(names(p))) for p in sets], "p long, chosen string")
 
 
 @query("custkey:i acctbal:d", "SELECT c_custkey AS custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, (SELECT median(CASE WHEN c_acctbal > 0 THEN c_acctbal END) FROM customer WHERE c_custkey % 2 = 0)) AS acctbal FROM customer WHERE c_custkey % 2 = 1")
@@ -486,31 +495,38 @@ _MEMBERS = f"""SELECT cohort || '_' || portfolio_type || '_' || portfolio_size |
       WHERE have >= quota) WHERE r <= quota) WHERE n = portfolio_size"""
 
 
-def members(spark):
-    pool = b.roles(spark).where("role IN ('train', 'unseen_test')").withColumn("cohort", F.when(F.col("role") == "train", "seen").otherwise("unseen")).drop("role")
+def members(spark, d):
+    pool = b.roles(spark, d).where("role IN ('train', 'unseen_test')").withColumn("cohort", F.when(F.col("role") == "train", "seen").otherwise("unseen")).drop("role")
     return splits.sample_portfolios(pool, [2, 3], 2)
 
 
 @query("portfolio_id:s cohort:s portfolio_type:s portfolio_size:i household_id:i", b.sql("SELECT * FROM members", "roles", members=_MEMBERS))
 def portfolio_sampling(spark, d):
-    return members(spark)
+    return members(spark, d)
 
 
 # ---- quality ----
 
 
-_REASONS = "concat_ws('|', CASE WHEN rows = 0 THEN 'no_readings' END, CASE WHEN days < 25 THEN 'too_few_days' END, CASE WHEN missing > 0.3 THEN 'too_much_missing' END, CASE WHEN matched < 0.4 THEN 'weather_mismatch' END)"
-_AUDIT = dict(audit=f"""SELECT household_id, hp_type, rows, observed, expected, days AS usable_days, missing AS missing_fraction, matched AS weather_match_fraction, {_REASONS} AS exclusion_reason FROM (
-      SELECT r.household_id, r.hp_type, coalesce(n, 0) AS rows, coalesce(o, 0) AS observed, coalesce(z - a + 1, 0) AS expected, coalesce(o, 0) / 24.0::DOUBLE AS days, CASE WHEN coalesce(z - a + 1, 0) > 0 THEN 1 - CAST(coalesce(o, 0) AS DOUBLE) / (z - a + 1) ELSE 1 END AS missing, coalesce(m, 0) AS matched
-      FROM roles r LEFT JOIN (SELECT r1.household_id, count(*) AS n, count(cents) AS o, min(r1.step) AS a, max(r1.step) AS z, avg(CASE WHEN hw.step IS NULL THEN 0.0 ELSE 1.0 END) AS m FROM r1 LEFT JOIN hw ON hw.household_id = r1.household_id AND hw.step = r1.step GROUP BY 1) USING (household_id))""")
+_REASONS = "CASE WHEN rows = 0 THEN 'missing_meter_file' ELSE concat_ws('|', CASE WHEN hp_type IS NULL THEN 'unknown_hp_type' END, CASE WHEN observed = 0 THEN 'no_separate_hp_meter' END, CASE WHEN days < 25 THEN 'insufficient_days' END, CASE WHEN missing > 0.3 THEN 'target_missingness' END, CASE WHEN seasons < 1 THEN 'insufficient_heating_seasons' END, CASE WHEN matched < 0.4 THEN 'weather_match' END) END"
+_KNOWN = "CASE WHEN r.household_id % 5 <> 4 THEN r.hp_type END"
+_SEEN = "SELECT household_id, step, CASE WHEN household_id % 7 <> 5 THEN cents END AS cents FROM r1"
+_SEASONS = f"SELECT household_id, count(*) FILTER (days >= 20) AS seasons FROM (SELECT household_id, year(l) + CAST(month(l) >= 10 AS INT) AS season, count(DISTINCT CAST(l AS DATE)) AS days FROM (SELECT household_id, {_LOCAL.replace('ts', 'make_timestamp(step * 3600000000)')} AS l FROM seen WHERE cents IS NOT NULL AND household_id % 4 <> 1) WHERE month(l) IN (10, 11, 12, 1, 2, 3, 4) GROUP BY 1, 2) GROUP BY 1"
+_AUDIT = dict(seen=_SEEN, season=_SEASONS, audit=f"""SELECT household_id, hp_type, rows, observed, expected, days AS usable_days, missing AS missing_fraction, matched AS weather_match_fraction, seasons AS valid_seasons, {_REASONS} AS exclusion_reason FROM (
+      SELECT r.household_id, {_KNOWN} AS hp_type, coalesce(n, 0) AS rows, coalesce(o, 0) AS observed, coalesce(z - a + 1, 0) AS expected, coalesce(o, 0) / 24.0::DOUBLE AS days, CASE WHEN coalesce(z - a + 1, 0) > 0 THEN 1 - CAST(coalesce(o, 0) AS DOUBLE) / (z - a + 1) ELSE 1 END AS missing, coalesce(m, 0) AS matched, coalesce(seasons, 0) AS seasons
+      FROM roles r LEFT JOIN (SELECT q.household_id, count(*) AS n, count(cents) AS o, min(q.step) AS a, max(q.step) AS z, avg(CASE WHEN cents IS NULL THEN NULL WHEN hw.step IS NULL THEN 0.0 ELSE 1.0 END) AS m FROM seen q LEFT JOIN hw ON hw.household_id = q.household_id AND hw.step = q.step GROUP BY 1) USING (household_id) LEFT JOIN season USING (household_id))""")
 
 
 def audited(spark, d):
-    r = b.readings(spark, d, 1).withColumn("y", F.col("cents") / 100.0)
-    return quality.audit(r, b.roles(spark).drop("role"), b.household_weather(spark, d), 24, {"days": 25, "missing": 0.3, "weather": 0.4})
+    """An audit in which all reasons occur: some households have no known type, no separate meter, or no readings in the heating months."""
+    r = b.readings(spark, d, 1).withColumn("y", F.when(F.col("household_id") % 7 != 5, F.col("cents") / 100.0))
+    clock = r.where("household_id % 4 <> 1").withColumn("ts", F.timestamp_micros(F.col("step") * b.HOUR).cast("timestamp_ntz"))
+    seasons = quality.heating_seasons(clock, "ts", [10, 11, 12, 1, 2, 3, 4], 20)
+    houses = b.roles(spark, d).select("household_id", F.when(F.col("household_id") % 5 != 4, F.col("hp_type")).alias("hp_type"))
+    return quality.audit(r, houses, b.household_weather(spark, d), 24, {"days": 25, "missing": 0.3, "weather": 0.4, "seasons": 1}, seasons)
 
 
-@query("household_id:i rows:i observed:i expected:i usable_days:d missing_fraction:d weather_match_fraction:d exclusion_reason:s eligible:b", b.sql("SELECT *, exclusion_reason = '' AS eligible FROM audit", "roles", "r1", "hw", **_AUDIT))
+@query("household_id:i hp_type:s rows:i observed:i expected:i usable_days:d missing_fraction:d weather_match_fraction:d valid_seasons:i exclusion_reason:s eligible:b", b.sql("SELECT *, exclusion_reason = '' AS eligible FROM audit", "roles", "r1", "hw", **_AUDIT))
 def audit_household(spark, d):
     return audited(spark, d)
 
@@ -537,7 +553,7 @@ _CHECKS = "targets_follow_horizons:b paths_complete:b rows_unique:b times_inside
 @query(f"household_id:i split:s {_CHECKS}", b.sql("SELECT household_id, split, count(*) FILTER (target - origin <> horizon) = 0 AS targets_follow_horizons, count(*) = count(DISTINCT origin) * 4 AS paths_complete, count(*) = count(DISTINCT (origin, horizon)) AS rows_unique, CASE split WHEN 'train' THEN max(target) <= max(train_end) WHEN 'calibration' THEN min(origin) > max(train_end) AND max(target) <= max(calibration_end) WHEN 'seen_test' THEN min(origin) > max(calibration_end) ELSE true END AS times_inside_split, bool_and(CASE WHEN split LIKE 'unseen%' THEN role = split ELSE role = 'train' END) AS households_inside_split FROM sup JOIN (SELECT household_id, role FROM roles) USING (household_id), cutoffs GROUP BY 1, 2", "sup", "roles", "cutoffs"))
 def leakage_audit(spark, d):
     ends = b.cutoffs(spark, d).first()
-    return quality.protocol_checks(b.supervised(spark, d), b.roles(spark).drop("hp_type"), F.lit(ends.train_end), F.lit(ends.calibration_end), 4)
+    return quality.protocol_checks(b.supervised(spark, d), b.roles(spark, d).drop("hp_type"), F.lit(ends.train_end), F.lit(ends.calibration_end), 4)
 
 
 @query("left_only:i shared:i", "SELECT count(*) FILTER (NOT i) AS left_only, count(*) FILTER (i) AS shared FROM (SELECT k, k IN (SELECT user_id FROM events) AS i FROM (SELECT DISTINCT c_custkey AS k FROM customer))")
@@ -547,9 +563,9 @@ def set_partition(spark, d):
     return ids.join(users, "k", "left_anti").agg(F.count("*").alias("left_only")).crossJoin(ids.intersect(users).agg(F.count("*").alias("shared")))
 
 
-@query("k:i", "SELECT c_custkey AS k FROM customer WHERE c_custkey <= 200 UNION SELECT s_suppkey FROM supplier")
+@query("k:i", "SELECT c_custkey AS k FROM customer UNION SELECT s_suppkey FROM supplier")
 def union_distinct(spark, d):
-    return b.table(spark, d, "customer").where("c_custkey <= 200").select(F.col("c_custkey").alias("k")).union(b.table(spark, d, "supplier").select("s_suppkey")).distinct()
+    return b.table(spark, d, "customer").select(F.col("c_custkey").alias("k")).union(b.table(spark, d, "supplier").select("s_suppkey")).distinct()
 
 
 @query("kind:s key:i name:s size:i", "SELECT 'part' AS kind, p_partkey AS key, p_name AS name, p_size AS size FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier")
@@ -568,11 +584,11 @@ def mase_scale(spark, d):
     return b.scales(spark, d)
 
 
-@query("household_id:i origin:i step:i temperature:d", b.sql("SELECT p.household_id, p.step AS origin, w.step, w.temperature FROM (SELECT household_id, step FROM p6 WHERE step % 4 = 0) p ASOF JOIN (SELECT household_id, step // 6 AS step, temperature FROM (SELECT *, row_number() OVER (PARTITION BY household_id, step // 6 ORDER BY step DESC) AS r FROM hw) WHERE r = 1) w ON w.household_id = p.household_id AND w.step <= p.step", "p6", "hw"))
+@query("household_id:i origin:i step:i temperature:d", b.sql("SELECT p.household_id, p.step AS origin, w.step, w.temperature FROM p6 p ASOF JOIN (SELECT household_id, step // 6 AS step, temperature FROM (SELECT *, row_number() OVER (PARTITION BY household_id, step // 6 ORDER BY step DESC) AS r FROM hw) WHERE r = 1) w ON w.household_id = p.household_id AND w.step <= p.step", "p6", "hw"))
 def asof_backward(spark, d):
     """As-of join without a range join: both time axes united, the last right row carried forward within the series."""
     right = grid.dedup_last(b.household_weather(spark, d).withColumn("s6", F.floor(F.col("step") / 6)), ["household_id", "s6"], "step").select("household_id", F.col("s6").alias("step"), F.struct(F.col("s6").alias("step"), "temperature").alias("r"))
-    left = b.p6(spark, d).where("step % 4 = 0").select("household_id", "step", F.lit(True).alias("asked"))
+    left = b.p6(spark, d).select("household_id", "step", F.lit(True).alias("asked"))
     joined = left.join(right, ["household_id", "step"], "full")
     carried = joined.withColumn("r", F.last("r", ignorenulls=True).over(grid.by_time().rowsBetween(Window.unboundedPreceding, 0)))
     return carried.where("asked AND r IS NOT NULL").select("household_id", F.col("step").alias("origin"), "r.step", "r.temperature")
