@@ -97,6 +97,15 @@ def rank_quantile(df: DataFrame, groups: list[str], value: str, rank: Column, na
     return alike.unionByName(inside.select(*groups, F.col("_v").alias(name), "n"))
 
 
+def linear_quantile(df: DataFrame, groups: list[str], value: str, level: float, name: str) -> DataFrame:
+    """One row per group: the linearly interpolated quantile of ``value``, exact and without a group in one task."""
+    place = (F.col("n") - 1) * F.lit(level)
+    low = rank_quantile(df, groups, value, F.floor(place) + 1, "_low")
+    high = rank_quantile(df, groups, value, F.ceil(place) + 1, "_high").select(*(F.col(g).alias(f"_g_{g}") for g in groups), "_high")
+    same = all_of([F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]) if groups else F.lit(True)
+    return low.join(high, same).select(*groups, (F.col("_low") + (F.col("_high") - F.col("_low")) * (place - F.floor(place))).alias(name))
+
+
 def thin(df: DataFrame, groups: list[str], order: list[str | Column], quota: Column | int) -> DataFrame:
     """At most ``quota`` rows of each group, evenly spread in ``order``: places int(j (n-1)/(m-1)) for j < m, the last one n-1."""
     w = Window.partitionBy(*groups)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import finite, rank_quantile, upper_rank
+from tidepanel.functions.columns import finite, linear_quantile, rank_quantile, upper_rank
 
 LEVELS = (("model", "hp_type", "horizon", "temperature_regime"), ("model", "hp_type", "horizon"), ("model", "horizon"), ("model",))
 
@@ -13,7 +13,7 @@ LEVELS = (("model", "hp_type", "horizon", "temperature_regime"), ("model", "hp_t
 def temperature_thresholds(calibration: DataFrame, quantile: float = 0.05, temperature: str = "temperature_c") -> DataFrame:
     """(``hp_type``, ``cold_below``): the linear quantile of each type's finite temperatures."""
     t = finite(F.col(temperature))
-    return calibration.where(t.isNotNull()).groupBy("hp_type").agg(F.percentile(t, F.lit(quantile)).alias("cold_below"))
+    return linear_quantile(calibration.select("hp_type", t.alias("_t")), ["hp_type"], "_t", quantile, "cold_below")
 
 
 def with_regime(df: DataFrame, thresholds: DataFrame, temperature: str = "temperature_c") -> DataFrame:

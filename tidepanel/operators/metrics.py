@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import crps, finite, interval_score, pinball, winkler
+from tidepanel.functions.columns import crps, finite, interval_score, linear_quantile, pinball, winkler
 from tidepanel.operators.grid import ID, STEP
 
 CELLS = ("model", "split", "hp_type", "horizon")
@@ -42,7 +42,9 @@ def event_rates(actual: Column, predicted: Column) -> dict[str, Column]:
 def thresholds(reference: DataFrame, group: str, quantile: float) -> DataFrame:
     """(``group``, ``threshold``) over the reference rows, one for each household and target."""
     rows = reference.dropDuplicates([ID, "target"])
-    return rows.groupBy(group).agg(F.percentile("y_true", F.lit(quantile)).alias(f"_by_{group}"))
+    if group == ID:  # one household's rows are few
+        return rows.groupBy(group).agg(F.percentile("y_true", F.lit(quantile)).alias(f"_by_{group}"))
+    return linear_quantile(rows, [group], "y_true", quantile, f"_by_{group}")
 
 
 def with_threshold(predictions: DataFrame, reference: DataFrame, quantile: float = 0.95) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import sorted_quantiles
+from tidepanel.functions.columns import linear_quantile, sorted_quantiles
 
 PREDICTION = ("household_id", "hp_type", "origin", "target", "horizon", "split", "y_true", "model", "y_pred", "q10", "q50", "q90")
 
@@ -58,7 +58,8 @@ class BoostedQuantiles:
         learner = GBTRegressor(featuresCol="_x", labelCol="y_true", predictionCol="_p", lossType="absolute", maxIter=self.iterations, maxDepth=self.depth, seed=self.seed, validationIndicatorCol="_v")
         self.model = learner.fit(self.assembler.transform(both))
         left = self.model.transform(self.assembler.transform(validation)).select("horizon", (F.col("y_true") - F.col("_p")).alias("_r"))
-        self.residuals = left.groupBy("horizon").agg(*(F.percentile("_r", F.lit(t)).alias(f"_{n}") for n, t in (("lo", 0.1), ("mid", 0.5), ("hi", 0.9))))
+        low, mid, high = (linear_quantile(left, ["horizon"], "_r", t, f"_{n}") for n, t in (("lo", 0.1), ("mid", 0.5), ("hi", 0.9)))
+        self.residuals = low.join(mid, "horizon").join(high, "horizon")
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -73,18 +74,17 @@ class BoostedQuantiles:
 def permutation_importance(predict, rows: DataFrame, features: list[str], seed: int = 7) -> DataFrame:
     """(``feature``, ``hp_type``, ``contribution``): how much the error grows with the feature's values dealt anew.
 
-    A feature's values are dealt within its type by a hash order; no row leaves the executors.
+    Rows of a type fall into parts of some 65,536 by a hash, each in another hash's order, and every row takes the
+    feature's value of the row before it: one shuffle for all features, no row leaves the executors.
     """
-    from pyspark.sql import Window
-
-    out = None
-    base = predict(rows).groupBy("hp_type").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("_base"))
+    key = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "household_id", "origin", "horizon")
+    parts = Window.partitionBy("hp_type", F.pmod(key("part"), F.lit(max(1, rows.count() >> 16))))
+    before, every = parts.orderBy(key("order"), "household_id", "origin", "horizon"), parts.orderBy(key("order"), "household_id", "origin", "horizon").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = rows.withColumns({f"_dealt_{f}": F.when(F.row_number().over(before) == 1, F.last(f).over(every)).otherwise(F.lag(f).over(before)) for f in features})
+    error = lambda df, name: predict(df).groupBy("hp_type").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias(name))
+    base, out = error(rows, "_base"), None
     for f in features:
-        w = Window.partitionBy("hp_type")
-        key = F.xxhash64(F.lit(seed), F.lit(f), "household_id", "origin", "horizon")
-        ranked = rows.withColumns({"_a": F.row_number().over(w.orderBy("household_id", "origin", "horizon")), "_b": F.row_number().over(w.orderBy(key))})
-        dealt = ranked.drop(f, "_b").join(ranked.select("hp_type", F.col("_b").alias("_a"), f), ["hp_type", "_a"])
-        worse = predict(dealt).groupBy("hp_type").agg(F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("_worse"))
+        worse = error(dealt.withColumn(f, F.col(f"_dealt_{f}")), "_worse")
         part = worse.join(base, "hp_type").select(F.lit(f).alias("feature"), "hp_type", (F.col("_worse") - F.col("_base")).alias("contribution"))
         out = part if out is None else out.unionByName(part)
     return out

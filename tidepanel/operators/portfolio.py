@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import lower_rank, upper_rank
+from tidepanel.functions.columns import linear_quantile, lower_rank, rank_quantile, upper_rank
 from tidepanel.operators.grid import ID
 
 WHO = ["portfolio_id", "cohort", "portfolio_type", "portfolio_size"]
@@ -30,13 +30,9 @@ def residual_bounds(aggregates: DataFrame, alpha: float = 0.2, least: int = 100)
     ``calibration_n`` counts distinct (origin, target), which decides validity; ranks count rows.
     """
     rows = aggregates.where("cohort = 'seen' AND split = 'calibration'").withColumn("_r", F.col("y_true") - F.col("q50"))
-    w = Window.partitionBy(*CELL)
-    ranked = rows.withColumn("_i", F.row_number().over(w.orderBy("_r"))).withColumn("_n", F.count("*").over(w))
-    pick = lambda rank: F.max(F.when(F.col("_i") == rank, F.col("_r")))
-    table = ranked.groupBy(*CELL).agg(
-        F.count("*").alias("calibration_rows"), F.count_distinct("origin", "target").alias("calibration_n"),
-        pick(lower_rank(F.col("_n"), alpha / 2)).alias("lower_residual"), pick(upper_rank(F.col("_n"), 1 - alpha / 2)).alias("upper_residual"),
-    )
+    table = rows.groupBy(*CELL).agg(F.count("*").alias("calibration_rows"), F.count_distinct("origin", "target").alias("calibration_n"))
+    for name, rank in (("lower_residual", lower_rank(F.col("n"), alpha / 2)), ("upper_residual", upper_rank(F.col("n"), 1 - alpha / 2))):
+        table = table.join(rank_quantile(rows, CELL, "_r", rank, name).drop("n"), CELL, "left")
     return table.withColumn("calibration_valid", F.col("calibration_n") >= least)
 
 
@@ -57,7 +53,7 @@ def truths(aggregates: DataFrame) -> DataFrame:
 def peak_thresholds(aggregates: DataFrame, quantile: float = 0.95) -> DataFrame:
     """(type, size, ``threshold``) from the seen cohort's calibration truths."""
     rows = truths(aggregates).where("cohort = 'seen' AND split = 'calibration'")
-    return rows.groupBy("portfolio_type", "portfolio_size").agg(F.percentile("y_true", F.lit(quantile)).alias("threshold"))
+    return linear_quantile(rows, ["portfolio_type", "portfolio_size"], "y_true", quantile, "threshold")
 
 
 def shift(actual: np.ndarray, signal: np.ndarray, threshold: float, fraction: float, reach: int, room: float = 1.0) -> tuple[np.ndarray, float, int, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -197,11 +199,20 @@ def one_to_one_join(spark, d):
     return b.predictions(spark, d).drop("temperature_c").join(s, keys, "left")
 
 
-@query("model:s split:s mae_difference:d", b.sql("SELECT a.model, a.split, a.mae - c.mae AS mae_difference FROM (SELECT model, split, avg(abs(y_true - y_pred)) AS mae FROM pred WHERE horizon <= 2 GROUP BY 1, 2) a JOIN (SELECT model, split, avg(abs(y_true - y_pred)) AS mae FROM pred WHERE horizon > 2 GROUP BY 1, 2) c USING (model, split)", "pred"))
+_CHAIN = ("cold", "reg", "scores", "corr", "cal")
+_ORACLE = {f"{n}_o": re.sub(r"\btemperature_c\b", "evaluation_temperature_c", re.sub(rf"(?<!')\b({'|'.join(_CHAIN)})\b", r"\1_o", b.CTES[n][1])) for n in _CHAIN}
+_WINKLER = "SELECT model, split, avg(q90 - q10 + 10 * greatest(q10 - y_true, 0) + 10 * greatest(y_true - q90, 0)) AS w FROM {} GROUP BY 1, 2"
+
+
+@query("model:s split:s winkler_difference:d", b.sql(f"SELECT model, split, a.w - c.w AS winkler_difference FROM ({_WINKLER.format('cal')}) a JOIN ({_WINKLER.format('cal_o')}) c USING (model, split)", "cal", **_ORACLE))
 def scenario_diff(spark, d):
+    """What knowing the weather is worth: intervals calibrated by regimes of the lagged proxy, and of the realised temperature."""
     p = b.predictions(spark, d)
-    one, two = (metrics.forecast_metrics(p.where(c), ["model", "split"]).select("model", "split", F.col("mae").alias(n)) for c, n in (("horizon <= 2", "a"), ("horizon > 2", "c")))
-    return one.join(two, ["model", "split"]).withColumn("mae_difference", F.col("a") - F.col("c"))
+    known = p.withColumn("temperature_c", F.col("evaluation_temperature_c"))
+    known = conformal.with_regime(known, conformal.temperature_thresholds(known.where("split = 'calibration'"), 0.05))
+    known = conformal.calibrate(known, conformal.corrections(known.where("split = 'calibration'"), 0.2, b.LEAST))
+    one, two = (df.groupBy("model", "split").agg(F.avg(winkler(F.col("y_true"), F.col("q10"), F.col("q90"))).alias(n)) for df, n in ((b.calibrated(spark, d), "a"), (known, "c")))
+    return one.join(two, ["model", "split"]).withColumn("winkler_difference", F.col("a") - F.col("c"))
 
 
 @query("model:s persistence:d daily:d weekly:d", b.sql("SELECT split AS model, avg(CASE WHEN model = 'persistence' THEN abs(y_true - y_pred) END) AS persistence, avg(CASE WHEN model = 'daily' THEN abs(y_true - y_pred) END) AS daily, avg(CASE WHEN model = 'weekly' THEN abs(y_true - y_pred) END) AS weekly FROM pred GROUP BY 1", "pred"))
@@ -274,9 +285,38 @@ def _detail(spark, d):
     return portfolio.manage_peaks(rows, portfolio.peak_thresholds(rows, 0.5), 4, [0.1, 0.2], [6, 12], 1 / 6)
 
 
-@query("portfolio_id:s model:s split:s origin:i strategy:s flexible_fraction:d shift_hours:i threshold:d peak_before:d peak_after:d peak_reduction:d shifted_energy:d interventions:i rejected_interventions:i energy_balance_error:d actual_peak_event:b predicted_peak_event:b missed_event:b false_intervention:b")
+_TRAJECTORIES = """SELECT portfolio_id, cohort, portfolio_type, portfolio_size, split, origin, model, any_value(threshold) AS threshold,
+    list(y_true ORDER BY horizon) AS y, list(q50 ORDER BY horizon) AS mid, list(q90 ORDER BY horizon) AS high
+  FROM bounded JOIN limits USING (portfolio_type, portfolio_size)
+  WHERE split IN ('seen_test', 'unseen_test') AND calibration_valid GROUP BY 1, 2, 3, 4, 5, 6, 7 HAVING count(*) >= 4 AND any_value(threshold) IS NOT NULL"""
+_SIGNALS = """SELECT portfolio_id, split, origin, model, threshold, y, strategy, CASE strategy WHEN 'median' THEN mid ELSE high END AS signal FROM trajectories, (SELECT unnest(['median', 'conformal_upper_bound']) AS strategy)
+  UNION ALL SELECT portfolio_id, split, origin, 'perfect_foresight', threshold, y, 'perfect_foresight', y FROM (SELECT *, row_number() OVER (PARTITION BY portfolio_id, split, origin ORDER BY model) AS r FROM trajectories) WHERE r = 1"""
+#: The scheduling kernel, one step of the path at a time: the k-th highest step moves its load, in the plan and in what is done.
+_SCHEDULED = """SELECT *, 0 AS k, list_transform(signal, lambda x: greatest(x, 0.0)) AS plan, [false, false, false, false] AS busy, y AS done, CAST(0.0 AS DOUBLE) AS moved, 0 AS interventions, 0 AS rejected,
+    list_transform(list_sort([{'s': -signal[i], 'i': -i} for i in range(1, 5)]), lambda x: -x.i) AS ranked
+  FROM (SELECT portfolio_id, model, strategy, split, origin, flexible_fraction, shift_hours, threshold, y, signal FROM signals, (SELECT unnest([0.1e0, 0.2e0]) AS flexible_fraction), (SELECT unnest([6, 12]) AS shift_hours))
+  UNION ALL SELECT portfolio_id, model, strategy, split, origin, flexible_fraction, shift_hours, threshold, y, signal, k + 1,
+    CASE WHEN moves THEN [CASE i WHEN a THEN plan[i] - amount WHEN c THEN plan[i] + amount ELSE plan[i] END for i in range(1, 5)] ELSE plan END,
+    CASE WHEN moves THEN [busy[i] OR i = a OR i = c for i in range(1, 5)] ELSE busy END,
+    CASE WHEN moves THEN [CASE i WHEN a THEN done[i] - given WHEN c THEN done[i] + given ELSE done[i] END for i in range(1, 5)] ELSE done END,
+    CASE WHEN moves THEN moved + given ELSE moved END, interventions + CAST(moves AS INT), rejected + CAST(asked AND NOT moves AS INT), ranked
+  FROM (SELECT *, asked AND amount > 0 AND plan[c] + amount <= list_max(plan) + 1e-12 AS moves, least(amount, greatest(0.0, done[a])) AS given FROM (
+    SELECT *, CASE WHEN c IS NULL THEN 0.0 ELSE least(greatest(0.0, flexible_fraction * plan[a]), greatest(0.0, threshold - plan[c])) END AS amount FROM (
+      SELECT *, signal[a] > threshold AND NOT busy[a] AND a < 4 AS asked, list_sort([{'s': signal[i], 'i': i} for i in range(a + 1, least(4, a + shift_hours // 6) + 1) if signal[i] < signal[a]])[1].i AS c FROM (
+        SELECT *, CAST(ranked[k + 1] AS BIGINT) AS a FROM scheduled WHERE k < 4))))"""
+_DETAIL_SQL = """SELECT portfolio_id, model, split, origin, strategy, flexible_fraction, shift_hours, threshold, list_max(y) AS peak_before, list_max(done) AS peak_after, list_max(y) - list_max(done) AS peak_reduction, moved AS shifted_energy,
+    interventions, rejected AS rejected_interventions, abs(list_sum(done) - list_sum(y)) AS energy_balance_error, list_max(y) > threshold AS actual_peak_event, list_max(signal) > threshold AS predicted_peak_event,
+    list_max(y) > threshold AND NOT list_max(signal) > threshold AS missed_event, list_max(signal) > threshold AND NOT list_max(y) > threshold AS false_intervention FROM scheduled WHERE k = 4
+  UNION ALL SELECT portfolio_id, model, split, origin, 'reference_no_forecast', 0.0, 0, threshold, list_max(y), list_max(y), 0.0, 0.0, 0, 0, 0.0, list_max(y) > threshold, false, list_max(y) > threshold, false FROM trajectories"""
+
+
+def _detail_sql(select: str) -> str:
+    return b.sql(select, "roles", "cal", **_PF, trajectories=_TRAJECTORIES, signals=_SIGNALS, scheduled=_SCHEDULED, detail=_DETAIL_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("portfolio_id:s model:s split:s origin:i strategy:s flexible_fraction:d shift_hours:i threshold:d peak_before:d peak_after:d peak_reduction:d shifted_energy:d interventions:i rejected_interventions:i energy_balance_error:d actual_peak_event:b predicted_peak_event:b missed_event:b false_intervention:b", _detail_sql("SELECT * FROM detail"))
 def peak_management(spark, d):
-    """Sequential scheduling of each trajectory: beyond SQL, tested against hand-worked cases."""
+    """Sequential scheduling of each trajectory."""
     return _detail(spark, d)
 
 
@@ -292,14 +332,14 @@ def peak_events(spark, d):
     )
 
 
-@query("portfolio_id:s model:s split:s strategy:s flexible_fraction:d shift_hours:i n_origins:i mean_peak_reduction:d median_peak_reduction:d min_peak_reduction:d max_peak_reduction:d interventions:i missed_events:i false_interventions:i")
+@query("portfolio_id:s model:s split:s strategy:s flexible_fraction:d shift_hours:i n_origins:i mean_peak_reduction:d median_peak_reduction:d min_peak_reduction:d max_peak_reduction:d interventions:i missed_events:i false_interventions:i", _detail_sql("SELECT portfolio_id, model, split, strategy, flexible_fraction, shift_hours, count(*) AS n_origins, avg(peak_reduction) AS mean_peak_reduction, median(peak_reduction) AS median_peak_reduction, min(peak_reduction) AS min_peak_reduction, max(peak_reduction) AS max_peak_reduction, sum(interventions) AS interventions, count(*) FILTER (missed_event) AS missed_events, count(*) FILTER (false_intervention) AS false_interventions FROM detail GROUP BY 1, 2, 3, 4, 5, 6"))
 def peak_summary(spark, d):
     return portfolio.summarise(_detail(spark, d))
 
 
-@query("energy_violations:i foresight_peak_violations:i foresight_event_violations:i", "SELECT 0 AS energy_violations, 0 AS foresight_peak_violations, 0 AS foresight_event_violations")
+@query("rows:i energy_violations:i foresight_peak_violations:i foresight_event_violations:i", _detail_sql("SELECT count(*) AS rows, count(*) FILTER (energy_balance_error > 1e-8) AS energy_violations, count(*) FILTER (strategy = 'perfect_foresight' AND peak_after > peak_before + 1e-9) AS foresight_peak_violations, count(*) FILTER (strategy = 'perfect_foresight' AND (missed_event OR false_intervention)) AS foresight_event_violations FROM detail"))
 def energy_invariants(spark, d):
-    return portfolio.invariants(_detail(spark, d))
+    return portfolio.invariants(_detail(spark, d)).crossJoin(_detail(spark, d).agg(F.count("*").alias("rows")))
 
 
 @query("min_samples:i portfolio_type:s portfolio_size:i cells:i valid_cells:i valid_fraction:d reportable:b min_n:i median_n:d max_n:i", _pf("SELECT min_samples, portfolio_type, portfolio_size, count(*) AS cells, count(*) FILTER (calibration_n >= min_samples) AS valid_cells, avg(CAST(calibration_n >= min_samples AS DOUBLE)) AS valid_fraction, bool_and(calibration_n >= min_samples) AS reportable, min(calibration_n) AS min_n, median(calibration_n) AS median_n, max(calibration_n) AS max_n FROM bounds, (SELECT unnest([10, 15, 50]) AS min_samples) GROUP BY 1, 2, 3"))
@@ -317,13 +357,13 @@ def portfolio_report_aggregate(spark, d):
     return reports.portfolio_report(portfolio.summarise(_detail(spark, d).where("strategy = 'reference_no_forecast'")), ["portfolio_type"])
 
 
-@query("portfolio_type:s strategy:s label:s mean_peak_reduction:d n_origins:i")
+@query("portfolio_type:s strategy:s label:s mean_peak_reduction:d n_origins:i", _detail_sql("SELECT portfolio_type, strategy, CASE strategy " + " ".join(f"WHEN '{x}' THEN '{reports.LABELS.get(x, x.replace('_', ' ').title())}'" for x in ("median", "conformal_upper_bound", "perfect_foresight")) + " END AS label, avg(peak_reduction) AS mean_peak_reduction, count(*) AS n_origins FROM detail JOIN (SELECT DISTINCT portfolio_id, portfolio_type FROM members) USING (portfolio_id) WHERE flexible_fraction = 0.2 AND shift_hours = 6 GROUP BY 1, 2"))
 def table_portfolio(spark, d):
     out = reports.portfolio_report(portfolio.summarise(_detail(spark, d).where("flexible_fraction = 0.2 AND shift_hours = 6")), ["portfolio_type", "strategy"])
     return out.withColumn("label", reports.label(F.col("strategy")))
 
 
-@query("portfolio_id:s model:s origin:i shift_hours:i shifted_energy:d interventions:i rejected_interventions:i energy_balance_error:d")
+@query("portfolio_id:s model:s origin:i shift_hours:i shifted_energy:d interventions:i rejected_interventions:i energy_balance_error:d", _detail_sql("SELECT * FROM detail WHERE strategy = 'median' AND flexible_fraction = 0.2"))
 def shift_profile(spark, d):
     """The scheduling kernel's outcome per trajectory, for one fraction and the median signal."""
     return _detail(spark, d).where("strategy = 'median' AND flexible_fraction = 0.2")
