@@ -76,34 +76,43 @@ def lower_rank(n: Column, half: float) -> Column:
     return F.greatest(F.floor((n + 1) * F.lit(half) + 1e-9), F.lit(1))
 
 
-def rank_quantile(df: DataFrame, groups: list[str], value: str, rank: Column, name: str) -> DataFrame:
-    """One row per group: the ``value`` at ``rank`` (an expression of the group's row count ``n``), and ``n``.
+def rank_values(df: DataFrame, groups: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """One row per group: the ``value`` at each of ``ranks`` (expressions of the group's row count ``n``), and ``n``.
 
     Exact without sorting a group: values are counted in narrow buckets, combined before the shuffle; prefix
-    sums find the bucket that holds the rank, and only its rows are ranked, if they differ at all. Null keys
+    sums find the buckets that hold the ranks, and only their rows are ranked, if they differ at all. Null keys
     are a group.
     """
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), F.floor(F.asinh(F.col(value) * 1e6) * 64).alias("_b"))
     counts = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     w = Window.partitionBy(*(groups or [F.lit(1)]))
-    reached = counts.withColumns({"n": F.sum("_c").over(w), "_before": F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}).withColumn("_rank", rank)
-    edge = reached.where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_c")))
-    alike = edge.where("_lo = _hi").select(*groups, F.col("_lo").alias(name), "n")
-    mixed = edge.where("_lo <> _hi").select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("_b").alias("_eb"), "n", (F.col("_rank") - F.col("_before")).alias("_need"))
-    same = F.col("_b") == F.col("_eb")
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
-    inside = rows.join(mixed, same).withColumn("_nth", F.row_number().over(w.orderBy("_v"))).where("_nth = _need")
-    return alike.unionByName(inside.select(*groups, F.col("_v").alias(name), "n"))
+    reached = counts.withColumns({"n": F.sum("_c").over(w), "_before": F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    wanted = reached.withColumn("_w", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()))))
+    edge = wanted.where((F.col("_before") < F.col("_w.rank")) & (F.col("_w.rank") <= F.col("_before") + F.col("_c")))
+    alike = edge.where("_lo = _hi").select(*groups, "n", F.col("_w.name").alias("_name"), F.col("_lo").alias("_v"))
+    mixed = edge.where("_lo <> _hi").select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("_b").alias("_eb"), "n", F.col("_w.name").alias("_name"), (F.col("_w.rank") - F.col("_before")).alias("_need"))
+    same = all_of([F.col("_b") == F.col("_eb"), *(F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups)])
+    within = Window.partitionBy(*groups, "_name").orderBy("_v")
+    inside = rows.join(mixed, same).withColumn("_nth", F.row_number().over(within)).where("_nth = _need").select(*groups, "n", "_name", "_v")
+    found = alike.unionByName(inside).groupBy(*groups).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in ranks))
+    return found.select(*groups, *ranks, "n").where("n IS NOT NULL")
+
+
+def rank_quantile(df: DataFrame, groups: list[str], value: str, rank: Column, name: str) -> DataFrame:
+    """:func:`rank_values` of one rank."""
+    return rank_values(df, groups, value, {name: rank})
+
+
+def linear_quantiles(df: DataFrame, groups: list[str], value: str, levels: dict[str, float]) -> DataFrame:
+    """One row per group: linearly interpolated quantiles of ``value``, exact and without a group in one task."""
+    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    ranks = {f"_{end}_{k}": r(place(p)) + 1 for k, p in levels.items() for end, r in (("low", F.floor), ("high", F.ceil))}
+    between = lambda k, p: F.col(f"_low_{k}") + (F.col(f"_high_{k}") - F.col(f"_low_{k}")) * (place(p) - F.floor(place(p)))
+    return rank_values(df, groups, value, ranks).select(*groups, *(between(k, p).alias(k) for k, p in levels.items()))
 
 
 def linear_quantile(df: DataFrame, groups: list[str], value: str, level: float, name: str) -> DataFrame:
-    """One row per group: the linearly interpolated quantile of ``value``, exact and without a group in one task."""
-    place = (F.col("n") - 1) * F.lit(level)
-    low = rank_quantile(df, groups, value, F.floor(place) + 1, "_low")
-    high = rank_quantile(df, groups, value, F.ceil(place) + 1, "_high").select(*(F.col(g).alias(f"_g_{g}") for g in groups), "_high")
-    same = all_of([F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]) if groups else F.lit(True)
-    return low.join(high, same).select(*groups, (F.col("_low") + (F.col("_high") - F.col("_low")) * (place - F.floor(place))).alias(name))
+    return linear_quantiles(df, groups, value, {name: level})
 
 
 def thin(df: DataFrame, groups: list[str], order: list[str | Column], quota: Column | int) -> DataFrame:

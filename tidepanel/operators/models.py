@@ -7,7 +7,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import linear_quantile, sorted_quantiles
+from tidepanel.functions.columns import linear_quantiles, sorted_quantiles
 
 PREDICTION = ("household_id", "hp_type", "origin", "target", "horizon", "split", "y_true", "model", "y_pred", "q10", "q50", "q90")
 
@@ -58,8 +58,7 @@ class BoostedQuantiles:
         learner = GBTRegressor(featuresCol="_x", labelCol="y_true", predictionCol="_p", lossType="absolute", maxIter=self.iterations, maxDepth=self.depth, seed=self.seed, validationIndicatorCol="_v")
         self.model = learner.fit(self.assembler.transform(both))
         left = self.model.transform(self.assembler.transform(validation)).select("horizon", (F.col("y_true") - F.col("_p")).alias("_r"))
-        low, mid, high = (linear_quantile(left, ["horizon"], "_r", t, f"_{n}") for n, t in (("lo", 0.1), ("mid", 0.5), ("hi", 0.9)))
-        self.residuals = low.join(mid, "horizon").join(high, "horizon")
+        self.residuals = linear_quantiles(left, ["horizon"], "_r", {"_lo": 0.1, "_mid": 0.5, "_hi": 0.9})
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:

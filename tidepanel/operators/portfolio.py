@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import linear_quantile, lower_rank, rank_quantile, upper_rank
+from tidepanel.functions.columns import linear_quantile, lower_rank, rank_values, upper_rank
 from tidepanel.operators.grid import ID
 
 WHO = ["portfolio_id", "cohort", "portfolio_type", "portfolio_size"]
@@ -31,8 +31,8 @@ def residual_bounds(aggregates: DataFrame, alpha: float = 0.2, least: int = 100)
     """
     rows = aggregates.where("cohort = 'seen' AND split = 'calibration'").withColumn("_r", F.col("y_true") - F.col("q50"))
     table = rows.groupBy(*CELL).agg(F.count("*").alias("calibration_rows"), F.count_distinct("origin", "target").alias("calibration_n"))
-    for name, rank in (("lower_residual", lower_rank(F.col("n"), alpha / 2)), ("upper_residual", upper_rank(F.col("n"), 1 - alpha / 2))):
-        table = table.join(rank_quantile(rows, CELL, "_r", rank, name).drop("n"), CELL, "left")
+    bounds = rank_values(rows, CELL, "_r", {"lower_residual": lower_rank(F.col("n"), alpha / 2), "upper_residual": upper_rank(F.col("n"), 1 - alpha / 2)})
+    table = table.join(bounds.drop("n"), CELL, "left")
     return table.withColumn("calibration_valid", F.col("calibration_n") >= least)
 
 
