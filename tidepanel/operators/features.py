@@ -49,6 +49,17 @@ def calendar(df: DataFrame, ts: str, zone: str = "Europe/Zurich", holidays: Data
     return df.join(days, F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(ts))) == F.col("_h"), "left").withColumn("cal_public_holiday", F.col("_h").isNotNull().cast("int")).drop("_h")
 
 
+def canton_holidays(spark, first: int = 1990, last: int = 2100) -> DataFrame:
+    """(``holiday``): the public holidays of the canton of Zurich; those that move follow Easter (Gauss's rule of the epact)."""
+    y = spark.range(first, last + 1).select(F.col("id").cast("int").alias("y"))
+    y = y.selectExpr("y", "y % 19 AS g", "y DIV 100 AS c").selectExpr("y", "g", "c", "(c - c DIV 4 - (8 * c + 13) DIV 25 + 19 * g + 15) % 30 AS h")
+    y = y.selectExpr("y", "c", "h - (h DIV 28) * (1 - (29 DIV (h + 1)) * ((21 - g) DIV 11)) AS i").selectExpr("y", "i - (y + y DIV 4 + i + 2 - c + c DIV 4) % 7 AS l")
+    easter = "date_add(make_date(y, 3, 28), CAST(l AS INT))"
+    moving = [f"date_add({easter}, {n})" for n in (-2, 1, 39, 50)]  # Good Friday, Easter Monday, Ascension, Whit Monday
+    fixed = [f"make_date(y, {m}, {d})" for m, d in ((1, 1), (1, 2), (5, 1), (8, 1), (12, 25), (12, 26))]
+    return y.selectExpr(f"explode(array({', '.join(moving + fixed)})) AS holiday")
+
+
 def temperature_column(names: list[str]) -> str | None:
     """The column that holds air temperature: known names first, else the first that says hourly temperature and no dew point or extreme."""
     for name in ("Temperature_mean_hourly", "Temperature_avg_hourly", "Temperature_hourly"):  # fixed values

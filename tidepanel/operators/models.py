@@ -43,6 +43,32 @@ class ElasticNet:
         return prediction_frame(self.model.transform(self.assembler.transform(rows)), "elastic_net", p, p, p, p)
 
 
+    def save(self, path: str) -> None:
+        """Writes the fitted model under ``path``, anywhere Spark writes to."""
+        self.model.write().overwrite().save(f"{path}/model")
+        _meta(path, self.features)
+
+    @classmethod
+    def load(cls, path: str) -> "ElasticNet":
+        from pyspark.ml.regression import LinearRegressionModel
+
+        own = cls(_features(path))
+        own.assembler, own.model = VectorAssembler(inputCols=own.features, outputCol="_x"), LinearRegressionModel.load(f"{path}/model")
+        return own
+
+
+def _meta(path: str, features: list[str]) -> None:
+    from pyspark.sql import SparkSession
+
+    SparkSession.getActiveSession().createDataFrame([(i, f) for i, f in enumerate(features)], "place int, feature string").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+
+def _features(path: str) -> list[str]:
+    from pyspark.sql import SparkSession
+
+    return [r.feature for r in SparkSession.getActiveSession().read.parquet(f"{path}/features").orderBy("place").collect()]
+
+
 class BoostedQuantiles:
     """Boosted trees of least absolute error for the point, empirical residual quantiles per horizon around it.
 
@@ -66,6 +92,22 @@ class BoostedQuantiles:
         out = self.model.transform(self.assembler.transform(rows)).join(F.broadcast(self.residuals), "horizon", "left")
         return prediction_frame(out, "boosted_trees", p, *(p + F.coalesce(f"_{n}", F.lit(0.0)) for n in ("lo", "mid", "hi")))
 
+    def save(self, path: str) -> None:
+        """Writes model and residual quantiles under ``path``, anywhere Spark writes to."""
+        self.model.write().overwrite().save(f"{path}/model")
+        self.residuals.coalesce(1).write.mode("overwrite").parquet(f"{path}/residuals")
+        _meta(path, self.features)
+
+    @classmethod
+    def load(cls, path: str) -> "BoostedQuantiles":
+        from pyspark.ml.regression import GBTRegressionModel
+        from pyspark.sql import SparkSession
+
+        own = cls(_features(path))
+        own.assembler, own.model = VectorAssembler(inputCols=own.features, outputCol="_x"), GBTRegressionModel.load(f"{path}/model")
+        own.residuals = SparkSession.getActiveSession().read.parquet(f"{path}/residuals")
+        return own
+
     def importances(self) -> list[tuple[str, float]]:
         return sorted(zip(self.features, self.model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
 

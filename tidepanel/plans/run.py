@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import finite, numeric
+from tidepanel.functions.columns import draw, finite, numeric
 from tidepanel.operators import conformal, encode, features, grid, inference, metrics, models, origins, portfolio, quality, reports, splits
 from tidepanel.plans.config import ConfigError, checked, merged, signature
 from tidepanel.sources import files
 
 QUARTER = 900_000_000
+KEPT = ["household_id", "hp_type", "origin", "target", "horizon", "split", "y_true"]
 
 
 class Run:
     """Stages read the tables of earlier ones. A run folder belongs to one configuration and one input state."""
 
     def __init__(self, spark: SparkSession, root: str, out: str, overrides: dict | None = None, holidays: DataFrame | None = None):
-        self.spark, self.out, self.holidays = spark, out.rstrip("/"), holidays
+        self.spark, self.out = spark, out.rstrip("/")
+        self.holidays = features.canton_holidays(spark) if holidays is None else holidays
         self.config = checked(merged(overrides or {}))
         self.adapter = files.Adapter(spark, root)
         self.claim()
@@ -68,10 +70,19 @@ class Run:
 
     # ---- stages ----
 
-    def audit(self, limits: dict | None = None) -> DataFrame:
-        limits = limits or {"days": 1, "missing": 0.5, "weather": 0.5}
-        covered = grid.interpolate_onto(self.meters.select("household_id", "step"), self.weather, "temperature", 3).where("temperature IS NOT NULL")
-        return self.table("audit", lambda: quality.audit(self.meters.select("household_id", "step", "y"), self.households.select("household_id", "hp_type"), covered, 96, limits))
+    def audit(self) -> DataFrame:
+        """The audit under the configured inclusion, with whether a household has protocols and several visits."""
+        i = self.config["inclusion"]
+        limits = {"days": i["min_days"], "missing": i["max_target_missing_fraction"], "weather": i["min_weather_match_fraction"], "seasons": i["min_heating_seasons"]}
+
+        def make() -> DataFrame:
+            covered = grid.interpolate_onto(self.meters.select("household_id", "step"), self.weather, "temperature", 3).where("temperature IS NOT NULL")
+            seasons = quality.heating_seasons(self.meters, "ts", i["heating_months"], i["min_season_days"], self.config["data"]["timezone"])
+            out = quality.audit(self.meters.select("household_id", "step", "y"), self.households.select("household_id", "hp_type"), covered, 96, limits, seasons)
+            visits = self.visits.groupBy("household_id").agg(F.count("*").alias("_v"))
+            return out.join(visits, "household_id", "left").withColumns({"protocol_available": F.col("_v").isNotNull(), "multiple_visits": F.coalesce(F.col("_v") > 1, F.lit(False))}).drop("_v")
+
+        return self.table("audit", make)
 
     def panels(self) -> DataFrame:
         def make() -> DataFrame:
@@ -125,22 +136,48 @@ class Run:
         return quality.require(self.table("leakage", lambda: checks))
 
     def scales(self) -> DataFrame:
-        return self.table("scales", lambda: metrics.seasonal_scales(self.panels(), self.split().select("household_id", "hp_type", "role"), F.lit(self.ends().first().train_end), 96, 96))
+        return self.table("scales", lambda: metrics.seasonal_scales(self.panels(), self.split().select("household_id", "hp_type", "role"), F.lit(self.ends().first().train_end), self.config["evaluation"]["mase_season_steps"], self.config["evaluation"]["mase_min_differences"]))
+
+    def model_rows(self, scenario: str) -> tuple[DataFrame, list[str]]:
+        """Supervised rows with the scenario's temperature, and the names of the features."""
+        rows = self.supervised().withColumn("temperature_c", F.coalesce(features.scenario_value(scenario, "future__temperature", "future__operational"), "causal"))
+        return rows, [c for c in rows.columns if c.startswith(("load_", "future__cal_", "baseline_")) or c in ("horizon_sqrt", "temperature_c")]
+
+    def sampled(self, rows: DataFrame, salt: int = 0) -> DataFrame:
+        """At most ``max_train_rows`` of ``rows``, evenly over the horizons: by hash, so reruns agree."""
+        most, seed, keys = self.config["sampling"]["max_train_rows"], self.config["project"]["seed"] + salt, ["household_id", "origin", "horizon"]
+        have = rows.count()
+        if have <= most:
+            return rows
+        rows = rows.where(draw(seed, *(F.col(k).cast("string") for k in keys)) < min(1.0, 1.2 * most / have) * 2**32)
+        return splits.capped_sample(rows, "horizon", -(-most // self.config["features"]["forecast_steps"]), most, seed, keys)
+
+    def fitted(self, train: DataFrame, validation: DataFrame, names: list[str], salt: int = 0):
+        """(encoder, elastic net, boosted trees) of a sample of ``train``; residuals come from ``validation``."""
+        m, keep = self.config["models"], ["y_true", "horizon"]
+        train = self.sampled(train, salt)
+        encoder = encode.TabularEncoder.fit(train, names)
+        x = encoder.transform(train, keep)
+        net = models.ElasticNet(names, m["elastic_net"]["alpha"], m["elastic_net"]["l1_ratio"]).fit(x)
+        trees = models.BoostedQuantiles(names, m["boosted_trees"]["iterations"], m["boosted_trees"]["depth"], self.config["project"]["seed"])
+        return encoder, net, trees.fit(x, encoder.transform(self.sampled(validation, salt), keep))
 
     def predictions(self, scenario: str | None = None) -> DataFrame:
+        """Baselines, elastic net and boosted trees; the fitted models are kept beside the tables."""
         scenario = scenario or self.config["data"]["weather_scenario"]
 
         def make() -> DataFrame:
-            rows = self.supervised().withColumn("temperature_c", F.coalesce(features.scenario_value(scenario, "future__temperature", "future__operational"), "causal"))
+            rows, names = self.model_rows(scenario)
             base = models.baselines(rows, keep=("temperature_c",))
-            names = [c for c in rows.columns if c.startswith(("load_", "future__cal_", "baseline_")) or c in ("horizon_sqrt", "temperature_c")]
-            train = rows.where("split = 'train'")
+            train, held = rows.where("split = 'train'"), rows.where("split = 'unseen_validation'")
             if train.isEmpty():
                 return base
-            encoder = encode.TabularEncoder.fit(train, names)
-            learnt = models.ElasticNet(names).fit(encoder.transform(train, ["y_true"])).predict(encoder.transform(rows.where("split <> 'train'").withColumn("_t", F.col("temperature_c")), ["household_id", "hp_type", "origin", "target", "horizon", "split", "y_true"]))
+            encoder, net, trees = self.fitted(train, rows.where("split = 'calibration'") if held.isEmpty() else held, names)
+            net.save(f"{self.out}/models/elastic_net_{scenario}")
+            trees.save(f"{self.out}/models/boosted_trees_{scenario}")
+            x = encoder.transform(rows.where("split <> 'train'"), KEPT)
             known = rows.select("household_id", "origin", "horizon", "temperature_c").dropDuplicates(["household_id", "origin", "horizon"])
-            return base.unionByName(learnt.join(known, ["household_id", "origin", "horizon"]))
+            return base.unionByName(net.predict(x).unionByName(trees.predict(x)).join(known, ["household_id", "origin", "horizon"]))
 
         return self.table(f"predictions_{scenario}", make)
 
@@ -150,8 +187,9 @@ class Run:
 
         def make() -> DataFrame:
             p = self.predictions(scenario)
-            p = conformal.with_regime(p, conformal.temperature_thresholds(p.where("split = 'calibration'")))
-            return conformal.calibrate(p, conformal.corrections(p.where("split = 'calibration'"), e["alpha"], e["conformal_min_samples"]))
+            p = conformal.with_regime(p, conformal.temperature_thresholds(p.where("split = 'calibration'"), e["cold_temperature_quantile"]))
+            table = self.table(f"corrections_{scenario}", lambda: conformal.corrections(p.where("split = 'calibration'"), e["alpha"], e["conformal_min_samples"]))
+            return conformal.calibrate(p, table)
 
         return self.table(f"calibrated_{scenario}", make)
 
@@ -159,35 +197,124 @@ class Run:
         scenario = scenario or self.config["data"]["weather_scenario"]
         return self.table(f"metrics_{scenario}", lambda: metrics.forecast_metrics(metrics.attach_scale(self.calibrated(scenario), self.scales()), alpha=self.config["evaluation"]["alpha"]))
 
+    def variants(self) -> DataFrame:
+        """The same measures of the intervals before calibration and of cold hours, and what calibration changes."""
+        e, scored = self.config["evaluation"], metrics.attach_scale(self.calibrated(), self.scales())
+        raw = scored.withColumns({"q10": F.col("q10_raw"), "q90": F.col("q90_raw")})
+        self.table("metrics_raw", lambda: metrics.forecast_metrics(raw, alpha=e["alpha"]))
+        return self.table("metrics_cold", lambda: metrics.forecast_metrics(scored.where("temperature_regime = 'cold'"), alpha=e["alpha"]))
+
     def peaks(self) -> DataFrame:
-        return self.table("peaks", lambda: metrics.peak_metrics(self.calibrated().where("split LIKE '%test'"), self.supervised().where("split = 'train'")))
+        e = self.config["evaluation"]
+        return self.table("peaks", lambda: metrics.peak_metrics(self.calibrated().where("split LIKE '%test'"), self.supervised().where("split = 'train'"), e["peak_threshold_quantile"], e["top_peak_fraction"]))
+
+    def transfer(self) -> DataFrame:
+        """Boosted trees trained on one type, or both, scored on each type's tests."""
+
+        def make() -> DataFrame:
+            rows, names = self.model_rows(self.config["data"]["weather_scenario"])
+            parts = []
+            for salt, (name, chosen) in enumerate((("ASHP", F.col("hp_type") == "ASHP"), ("GSHP", F.col("hp_type") == "GSHP"), ("combined", F.lit(True))), 1):
+                train = rows.where((F.col("split") == "train") & chosen)
+                if not train.isEmpty():
+                    encoder, _, trees = self.fitted(train, rows.where((F.col("split") == "calibration") & chosen), names, salt)
+                    parts.append(trees.predict(encoder.transform(rows.where("split LIKE '%test'"), KEPT)).withColumn("train_types", F.lit(name)))
+            return metrics.forecast_metrics(reduce(DataFrame.unionByName, parts), ["model", "train_types", "split", "hp_type", "horizon"])
+
+        return self.table("transfer", make)
+
+    def rolling(self) -> DataFrame:
+        """One fit per fold up to its cutoff, its last origins kept for monitoring, scored on the fold's evaluation time."""
+
+        def make() -> DataFrame:
+            rows, names = self.model_rows(self.config["data"]["weather_scenario"])
+            share, ends, parts = self.config["sampling"]["rolling_monitor_fraction"], self.ends().first(), []
+            spans = self.spark.createDataFrame([(float(ends.global_start), float(ends.calibration_end))], "start double, end double")
+            for f in splits.rolling_cutoffs(spans, self.config["split"]["rolling_folds"]).collect():
+                past = rows.where(F.col("origin") <= f.train_end)
+                origins_ = past.select("origin").distinct()
+                n = origins_.count()
+                test = rows.where((F.col("origin") > f.train_end) & (F.col("origin") <= f.evaluation_end))
+                if n < 2 or test.isEmpty():
+                    continue
+                first = origins_.orderBy(F.col("origin").desc()).limit(min(n - 1, max(1, -(-int(n * share * 1000) // 1000)))).agg(F.min("origin")).first()[0]
+                encoder, _, trees = self.fitted(past.where(F.col("origin") < first), past.where(F.col("origin") >= first), names, f.fold)
+                parts.append(trees.predict(encoder.transform(self.sampled(test, 100 + f.fold), KEPT)).withColumn("fold", F.lit(f.fold + 1)))
+            return metrics.forecast_metrics(reduce(DataFrame.unionByName, parts), ["fold", "model", "hp_type", "horizon"])
+
+        return self.table("rolling", make)
+
+    def importance(self) -> DataFrame:
+        """Permutation importance of the kept boosted trees on a bounded sample of test rows."""
+
+        def make() -> DataFrame:
+            scenario = self.config["data"]["weather_scenario"]
+            self.predictions(scenario)
+            rows, names = self.model_rows(scenario)
+            trees = models.BoostedQuantiles.load(f"{self.out}/models/boosted_trees_{scenario}")
+            encoder = encode.TabularEncoder.fit(self.sampled(rows.where("split = 'train'")), names)
+            tests = splits.explanation_sample(rows, 2000, 10000, self.config["project"]["seed"], ["household_id", "origin", "horizon"])
+            return models.permutation_importance(trees.predict, encoder.transform(tests, KEPT), names)
+
+        return self.table("importance", make)
+
+    def validation(self) -> DataFrame:
+        """(``gate``, ``rows``, ``violations``) of the calibrated predictions; raises if a gate doesn't hold."""
+
+        def make() -> DataFrame:
+            c = self.calibrated()
+            gates = {
+                "quantiles_finite": "q10 IS NOT NULL AND q50 IS NOT NULL AND q90 IS NOT NULL AND NOT isnan(q10 + q50 + q90)", "quantiles_ordered": "q10 <= q50 AND q50 <= q90", "quantiles_not_negative": "q10 >= 0",
+                "intervals_never_narrower": "q10 <= q10_raw AND q90 >= q90_raw", "corrections_not_negative": "conformal_correction >= 0", "targets_follow_horizons": "target - origin = horizon",
+                "truth_present": "y_true IS NOT NULL", "regimes_known": "temperature_regime IN ('cold', 'normal', 'unknown')",
+            }
+            counted = c.agg(F.count("*").alias("rows"), *(F.count_if(~F.coalesce(F.expr(g), F.lit(False))).alias(k) for k, g in gates.items()))
+            twice = c.groupBy("household_id", "origin", "horizon", "model").count().agg(F.count_if(F.col("count") > 1).alias("rows_unique"))
+            names = [*gates, "rows_unique"]
+            return counted.crossJoin(twice).select("rows", F.explode(F.array(*(F.struct(F.lit(k).alias("gate"), F.col(k).alias("violations")) for k in names))).alias("g")).select("g.gate", "rows", "g.violations")
+
+        out = self.table("validation", make)
+        bad = [r.gate for r in out.where("violations > 0").collect()]
+        if bad:
+            raise quality.ProtocolError(f"predictions: {bad}")
+        return out
 
     def portfolios(self) -> DataFrame:
         """The detail of load shifting; its invariants are checked."""
         p, e = self.config["portfolio"], self.config["evaluation"]
 
-        def make() -> DataFrame:
+        def sums() -> DataFrame:
             cohort = F.when(F.col("role") == "train", "seen").when(F.col("role") == "unseen_test", "unseen")
-            members = splits.sample_portfolios(self.split().select("household_id", "hp_type", cohort.alias("cohort")).where("cohort IS NOT NULL"), p["sizes"], p["repetitions"], self.config["project"]["seed"])
-            sums = portfolio.aggregate(self.calibrated().drop("hp_type"), members, p["coverage"])
-            bounded = portfolio.with_bounds(sums, self.table("portfolio_corrections", lambda: portfolio.residual_bounds(sums, e["alpha"], e["conformal_min_samples"])))
-            return portfolio.manage_peaks(bounded, portfolio.peak_thresholds(bounded), self.config["features"]["forecast_steps"], p["flexible_fractions"], p["shift_hours"])
+            members = splits.sample_portfolios(self.split().select("household_id", "hp_type", cohort.alias("cohort")).where("cohort IS NOT NULL"), p["sizes"], p["repetitions"], self.config["project"]["seed"], tuple(p["types"]))
+            return portfolio.aggregate(self.calibrated().drop("hp_type"), members, p["coverage"])
+
+        def make() -> DataFrame:
+            rows = self.table("portfolio_sums", sums)
+            bounded = portfolio.with_bounds(rows, self.table("portfolio_corrections", lambda: portfolio.residual_bounds(rows, e["alpha"], p["min_calibration_samples"])))
+            steps, room = self.config["features"]["forecast_steps"], p["destination_capacity_factor"]
+            each = [portfolio.manage_peaks(bounded, portfolio.peak_thresholds(bounded, q), steps, p["flexible_fractions"], p["shift_hours"], room=room).withColumn("peak_threshold_quantile", F.lit(q)) for q in p["peak_threshold_quantiles"]]
+            return reduce(DataFrame.unionByName, each)
 
         detail = self.table("peak_detail", make)
         bad = [k for k, v in portfolio.invariants(detail).first().asDict().items() if v]
         if bad:
             raise quality.ProtocolError(f"load shifting: {bad}")
-        return self.table("peak_summary", lambda: portfolio.summarise(detail))
+        self.table("portfolio_sensitivity", lambda: reports.sensitivity(self.table("portfolio_corrections", None), self.config["statistics"]["portfolio_sensitivity_thresholds"]))
+        return self.table("peak_summary", lambda: reduce(DataFrame.unionByName, [portfolio.summarise(detail.where(F.col("peak_threshold_quantile") == q)).withColumn("peak_threshold_quantile", F.lit(q)) for q in p["peak_threshold_quantiles"]]))
 
     def inference(self) -> DataFrame:
-        """Paired tests of all models against daily persistence with step-down correction."""
-        e = self.config["evaluation"]
+        """Paired tests of the configured comparisons, by households and by days within them, with step-down correction."""
+        e, t, seed = self.config["evaluation"], self.config["statistics"], self.config["project"]["seed"]
         rows = self.calibrated().where(F.col("split").isin("seen_test", "unseen_test") & F.col("horizon").isin(e["report_horizons"])).withColumn("day", F.floor(F.col("target") / 96))
-        names = sorted(r.model for r in rows.select("model").distinct().collect())
-        pairs = [(m, "daily") for m in names if m != "daily"]
-        deltas = inference.paired(rows, pairs, ["split", "hp_type", "horizon"], ["household_id", "day", "origin", "target"])
-        self.table("intervals", lambda: inference.metric_intervals(rows, ["model", "split", "hp_type", "horizon"], "day", e["bootstrap_repetitions"], self.config["project"]["seed"]))
-        return self.table("tests", lambda: inference.holm(inference.paired_test(deltas, ["split", "hp_type", "horizon"], "day", e["bootstrap_repetitions"], self.config["project"]["seed"])))
+        names = {r.model for r in rows.select("model").distinct().collect()}
+        pairs = [(a, b) for a, b in t["comparisons"] if {a, b} <= names]
+        strata, most, reliable = ["split", "hp_type", "horizon"], t["bootstrap_repetitions"], t["minimum_households_for_confirmatory"]
+        deltas = inference.paired(rows, pairs, strata, ["household_id", "day", "origin", "target"])
+        self.table("intervals", lambda: inference.metric_intervals(rows, ["model", *strata], "day", most, seed, reliable=reliable))
+        for name, nested in (("tests", False), ("tests_nested", True)):
+            tests = self.table(name, lambda nested=nested: inference.holm(inference.paired_test(deltas, strata, "day", most, seed, nested, reliable), alpha=t["multiple_testing_alpha"]))
+            self.table(f"{name}_summary", lambda tests=tests: reports.test_summary(tests))
+        return self.table("tests", None)
 
     def report(self) -> DataFrame:
         return self.table("winners", lambda: reports.winners(reports.weighted(self.evaluated().where("split LIKE '%test'"), ["model", "split", "hp_type"], ["mae", "approx_crps"]), ["split", "hp_type"], ["mae", "approx_crps"]))
@@ -200,10 +327,15 @@ class Run:
     def pilot(self) -> DataFrame:
         self.prepare()
         self.evaluated()
+        self.validation()
+        self.variants()
         return self.peaks()
 
     def full(self) -> DataFrame:
         self.pilot()
+        self.transfer()
+        self.rolling()
+        self.importance()
         self.portfolios()
         return self.report()
 
