@@ -9,15 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _ready(spark: SparkSession):
+    """The context, its checkpoint folder set. Where the session names none, one machine gets a temporary folder; a cluster fails."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` read back from a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
     Only where the session names none (tests on one machine) a temporary folder is set.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    _ready(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -73,10 +81,7 @@ def written(df: DataFrame) -> DataFrame:
 
     Like checkpoints of sessions that ended, the files stay until the folder is cleared.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    context = _ready(df.sparkSession)
     path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
