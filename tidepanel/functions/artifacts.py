@@ -12,10 +12,13 @@ _known: dict[tuple, DataFrame] = {}
 
 
 def folder(df: DataFrame) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``. Where the session names none, one machine gets a temporary one; a cluster fails."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="artifacts-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="artifacts-"))
     return context.getCheckpointDir()
 
 
