@@ -81,9 +81,10 @@ def rank_values(df: DataFrame, groups: list[str], value: str, ranks: dict[str, C
 
     Exact without sorting a group: values are counted in narrow buckets, combined before the shuffle; prefix
     sums find the buckets that hold the ranks, and only their rows are ranked, if they differ at all. Null keys
-    are a group.
+    are a group. Buckets are taken of magnitudes, as asinh of large negative numbers cancels to noise.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), F.floor(F.asinh(F.col(value) * 1e6) * 64).alias("_b"))
+    width = F.asinh(F.abs(F.col(value)) * 1e6) * 64
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), F.floor(F.when(F.col(value) < 0, -width).otherwise(width)).alias("_b"))
     counts = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     w = Window.partitionBy(*(groups or [F.lit(1)]))
     reached = counts.withColumns({"n": F.sum("_c").over(w), "_before": F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
