@@ -153,11 +153,14 @@ def test_configuration():
 def test_quantiles_of_values_of_both_signs(spark):
     """Negative values, however large, are ranked like any others."""
     rng = np.random.default_rng(11)
-    values = np.concatenate([rng.normal(0, 10.0 ** rng.integers(-7, 9, 400)), [-1e12, -3.0, -3.0, 0.0, -0.0, 1e12], -rng.uniform(60, 110, 200)])
-    df = spark.createDataFrame([("a" if i % 3 else None, float(v)) for i, v in enumerate(values)], "g string, v double")
+    values = [*rng.uniform(-200, 50, 900).tolist(), *(rng.normal(0, 1, 60) * 10.0 ** rng.integers(-8, 9, 60)).tolist(), -1e12, -3.0, -3.0, 0.0, 1e12]
+    df = spark.createDataFrame([("a" if i % 3 else None, v) for i, v in enumerate(values)], "g string, v double")
+    part = {"a": sorted(v for i, v in enumerate(values) if i % 3), None: sorted(values[::3])}
+    ranks = range(1, len(part[None]) + 1, 3)
+    ranked = {r.g: r for r in c.rank_values(df, ["g"], "v", {f"r{k}": F.lit(k) for k in ranks}).collect()}
+    for g, want in part.items():
+        assert [ranked[g][f"r{k}"] for k in ranks] == [want[k - 1] for k in ranks]
     levels = {"low": 0.03, "mid": 0.5, "high": 0.97}
     got = {r.g: r for r in c.linear_quantiles(df, ["g"], "v", levels).collect()}
-    for g, part in (("a", [v for i, v in enumerate(values) if i % 3]), (None, values[::3])):
-        assert [got[g][k] for k in levels] == pytest.approx(list(np.quantile(part, list(levels.values()))), rel=1e-12, abs=1e-15)
-    ranked = {r.g: r for r in c.rank_values(df, ["g"], "v", {"least": F.lit(1), "tenth": F.lit(10)}).collect()}
-    assert ranked[None].least == min(values[::3]) and ranked[None].tenth == sorted(values[::3])[9]
+    for g, want in part.items():
+        assert [got[g][k] for k in levels] == pytest.approx(list(np.quantile(want, list(levels.values()))), rel=1e-12)

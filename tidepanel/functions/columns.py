@@ -81,7 +81,7 @@ def rank_values(df: DataFrame, groups: list[str], value: str, ranks: dict[str, C
 
     Exact without sorting a group: values are counted in narrow buckets, combined before the shuffle; prefix
     sums find the buckets that hold the ranks, and only their rows are ranked, if they differ at all. Null keys
-    are a group. Buckets are taken of magnitudes, as asinh of large negative numbers cancels to noise.
+    are a group. Buckets are those of magnitudes: asinh itself cancels to noise below zero.
     """
     width = F.asinh(F.abs(F.col(value)) * 1e6) * 64
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), F.floor(F.when(F.col(value) < 0, -width).otherwise(width)).alias("_b"))
