@@ -106,3 +106,20 @@ def test_query_against_the_definition(spark):
         assert (r.size, r.source_size) == (sizes[r.doc_id], totals[s]) and abs(r.target - want[s]) < 1e-6 and r.taken <= 2 * r.size
         taken[s] += r.taken
     assert all(abs(taken[s] - want[s]) <= max(sizes[i] for i, r in docs.items() if r.source == s) / 2 + 1e-6 for s in totals)
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    """With null and empty texts, sources and ids, repeated rows and a hot source."""
+    import duckdb
+
+    from tidepanel.llm import queries
+
+    rows = [(i, " ".join(["wörd", "a|b"] * (1 + i * 7 % 90)), ("hot" if i % 3 else f"s{i % 11}") if i % 20 else None) for i in range(2000)]
+    rows += [(5, None, "hot"), (6, "", "hot"), (None, "a b\tc\x0bd", "s1"), (7, "x y", "s1"), (7, "x y", "s1"), (8, None, "none"), (9, "z", "")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = ["doc_id", "size", "source_size", "target", "taken", "source", "copies"]
+    got = [tuple(r) for r in queries.op3_mixing(spark, str(tmp_path)).select(order).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(order)} FROM ({queries.oracle_sql()['op3_mixing']})").fetchall()
+    assert len(got) == len(rows) and sorted(got, key=str) == sorted(want, key=str)

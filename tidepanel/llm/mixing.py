@@ -38,13 +38,14 @@ def quality_weight(size: Column, text: Column) -> Column:
 def prepare(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", weight: Column | None = None, seed: int = 2026) -> DataFrame:
     """``docs`` with a column ``_mix``: size in words (null text: 0), key of the draw and the key's bucket.
 
-    The key's uniform number is a hash of seed, id and text, so reruns agree; ``weight`` is positive and may
-    use any column (null: 1).
+    The key's uniform number is the first 52 bits of an MD5 of seed, id and text, so reruns agree and SQL elsewhere
+    draws alike; ``weight`` is positive and may use any column (null: 1).
     """
     text = F.col(text_col)
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    first = docs.withColumn("_mix", F.struct(size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("hash")))
-    uniform = (F.shiftrightunsigned("_mix.hash", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), text).cast("binary"))
+    first = docs.withColumn("_mix", F.struct(size.alias("size"), F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").alias("hash")))
+    uniform = (F.col("_mix.hash") + F.lit(0.5)) / F.lit(float(1 << 52))
     w = F.coalesce(weight if weight is not None else quality_weight(F.col("_mix.size"), text), F.lit(1.0))
     second = first.withColumn("_mix", F.struct("_mix.size", "_mix.hash", (-F.ln(uniform) / w).alias("key")))
     return second.withColumn("_mix", F.struct("_mix.*", F.floor(F.ln("_mix.key") * BUCKETS).cast("long").alias("bucket")))
@@ -105,3 +106,39 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     own = spared(docs, "_mix", "_edge", "_more")
     drawn = draw(prepare(own, **options))
     return drawn.withColumn("_mix", F.explode(F.array_repeat(F.lit(1), F.col("_mix.copies").cast("int")))).select(own.columns).toDF(*docs.columns)
+
+
+#: The rows of the operator's query, for an engine that sorts each source whole.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    CAST('0x' || substr(md5(concat_ws(':', '2026', CAST(doc_id AS VARCHAR), text)), 1, 13) AS BIGINT) AS hash
+  FROM documents
+), weighed AS (
+  SELECT *, greatest(0.05::DOUBLE, 1::DOUBLE / (1 + abs(ln(greatest(strlen(text)::DOUBLE / greatest(size, 1), 1::DOUBLE) / 6)))
+    / (1 + (4 * len(regexp_extract_all(text, '[!|#$%&*@^~+=<>]')))::DOUBLE / greatest(size, 1))) AS quality
+  FROM d
+), keyed AS (
+  SELECT *, -ln((hash + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / CASE WHEN text IS NULL THEN 1::DOUBLE ELSE quality END AS key
+  FROM weighed
+), totals AS (
+  SELECT source, sum(size)::DOUBLE AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM keyed GROUP BY source
+), capped AS (
+  SELECT *, [3, 1, 2][(place - 1) % 3 + 1]::DOUBLE AS w, 2 * source_size AS cap FROM totals
+), levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM capped
+), targets AS (
+  SELECT source, source_size, place, CASE WHEN level >= cap / w THEN cap ELSE w * (SELECT arg_min(level, cap / w) FROM levels WHERE level < cap / w) END AS target FROM levels
+), parted AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM targets
+), ordered AS (
+  SELECT k.*, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size AS rest,
+    coalesce(sum(size) OVER (PARTITION BY p.place ORDER BY key, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before
+  FROM keyed k JOIN parted p ON k.source IS NOT DISTINCT FROM p.source
+), taken AS (
+  SELECT *, CAST(epochs + CASE WHEN before + size / 2::DOUBLE <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM ordered
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * copies AS BIGINT) AS taken, source, copies FROM taken
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import itq, quality
+from tidepanel.llm import itq, mixing, quality
 from tidepanel.llm.chat import format_turns, read_back
 from tidepanel.llm.graph import nearest
 from tidepanel.llm.lineage import cut, read
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.ORACLE_SQL}
