@@ -6,6 +6,7 @@ from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidepanel.operators.grid import by_time
 
@@ -80,6 +81,12 @@ def with_prefix(df: DataFrame, *prefixes: str) -> list[str]:
     return [c for c in df.columns if c.startswith(prefixes)]
 
 
+def without_overlap(meter: DataFrame, weather: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """``meter`` without the columns that the weather has too, and the weather's columns: the numeric ones that are no key, date or station."""
+    names = [f.name for f in weather.schema.fields if isinstance(f.dataType, NumericType) and f.name not in (*keys, "Date", "Weather_ID")]
+    return meter.drop(*(c for c in names if c in meter.columns)), names
+
+
 def scenario_value(scenario: str, realised: str, proxy: str) -> Column:
     """The realised value for the 'oracle' scenario, the lagged proxy for 'operational'."""
     return F.col(realised if scenario == "oracle" else proxy)

@@ -26,6 +26,17 @@ def prediction_frame(rows: DataFrame, model: str, point: Column, low: Column, mi
     return rows.withColumns({"model": F.lit(model), "y_pred": F.greatest(point, F.lit(0.0)), "q10": a, "q50": b, "q90": c}).select(*PREDICTION)
 
 
+def tidied(paths: DataFrame, levels: list[float]) -> DataFrame:
+    """One row per horizon of trajectories (``quantiles``: an array of values at ``levels`` per horizon, ``actual``), targets a step apart.
+
+    Of the levels those nearest to 0.1, 0.5 and 0.9 are taken, the middle one as point forecast.
+    """
+    nearest = [min(range(len(levels)), key=lambda i: abs(levels[i] - want)) for want in (0.1, 0.5, 0.9)]
+    steps = paths.select("*", F.posexplode("quantiles").alias("_at", "_q")).withColumn("horizon", F.col("_at") + 1)
+    steps = steps.withColumns({"target": F.col("origin") + F.col("horizon"), "y_true": F.get("actual", F.col("_at")), **{c: F.get("_q", F.lit(i)) for c, i in zip(("q10", "q50", "q90"), nearest)}})
+    return steps.withColumn("y_pred", F.col("q50")).drop("quantiles", "actual", "_at", "_q")
+
+
 class ElasticNet:
     """Linear model with an elastic-net penalty on encoded features."""
 

@@ -76,6 +76,11 @@ class ProtocolError(ValueError):
     """A protocol check failed."""
 
 
+def outside(rows: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` are not among ``allowed``; null keys never are."""
+    return rows.join(allowed.select(*keys).distinct(), keys, "left_anti").select(rows.columns)
+
+
 def violations(checks: DataFrame) -> DataFrame:
     flags = [f.name for f in checks.schema if f.dataType.simpleString() == "boolean"]
     return checks.where(" OR ".join(f"NOT coalesce({f}, false)" for f in flags))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepanel.plans import evaluation, panels, registry  # noqa: F401  the modules register their queries
+from tidepanel.plans import evaluation, panels, registry, stores  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:

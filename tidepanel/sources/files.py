@@ -87,8 +87,9 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> str:
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """All columns, or the named ones, each once."""
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    return df.select(*dict.fromkeys(columns)) if columns else df
 
 
 def row_count(spark: SparkSession, path: str) -> int:
