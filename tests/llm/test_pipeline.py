@@ -1,6 +1,11 @@
 import re
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
+from tidepanel.llm.words import lean
 from tests.llm.test_mixing import slow_targets
 from tests.llm.test_packing import reference_ids
 from tests.llm.test_simhash import slow_components, slow_fingerprint
@@ -85,3 +90,40 @@ def test_stages_with_odd_rows_and_names(spark, tmp_path):
 def test_a_table_without_lengths(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "x")], "doc_id long, text string, source string")
     assert corpus_pipeline.substring_dedup(spark, docs, DIR).columns == docs.columns
+
+
+def test_stages_send_small_batches_to_workers(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(key, "10000")
+            stage(spark, spark.read.parquet(f"{DIR}/documents.parquet").limit(20), DIR)
+            assert [r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").collect()] == [1000, 1000, 500], name
+        spark.conf.set(key, "200")
+        corpus_pipeline.packing(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR)
+        assert spark.conf.get(key) == "200"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_worker_gives_its_memory_back_after_a_task():
+    def held():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    def run(batches):
+        blocks = [np.ones(8000) for _ in range(2000)]  # 122 MB in pieces that the C library keeps
+        pins.append(np.ones(8000))
+        yield from batches
+        assert blocks
+
+    pins = []
+    assert list(run(iter([1, 2]))) == [1, 2]
+    kept = held()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert held() < kept - 80

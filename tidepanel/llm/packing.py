@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.tokens import default_path, encode_texts
-from tidepanel.llm.words import text_bytes
+from tidepanel.llm.words import lean, text_bytes
 
 TIERS = (512, 1024, 2048, 4096)
 STEP = 1 << 16
@@ -166,6 +166,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         kinds = (id_type, *[pa.int64()] * 7, pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "window", "step_group", "ids"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         state, packer, pending, id_type = {"next": base, "group": base}, Packer(tiers), 0, pa.int64()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.lineage import spared
-from tidepanel.llm.words import chunks, find_words, span_hashes, text_bytes
+from tidepanel.llm.words import chunks, find_words, lean, span_hashes, text_bytes
 
 PASSAGE = 64  # words
 HASHED = 64
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
         return model
     chosen = docs.sparkSession.createDataFrame(chosen, "id string, h long, y double")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
@@ -192,6 +193,7 @@ def score(docs: DataFrame, model: Attention, text_col: str = "text", keep: list[
     keep = docs.columns if keep is None else keep
     at, kept = docs.columns.index(text_col), [docs.columns.index(c) for c in keep]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))

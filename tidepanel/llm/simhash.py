@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.lineage import components, cut, spared
-from tidepanel.llm.words import SPACE, chunks, find_words, text_bytes
+from tidepanel.llm.words import SPACE, chunks, find_words, lean, text_bytes
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and width
@@ -68,6 +68,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the shingles' XXH64 (seed 42). Null, empty and blank texts have fingerprint 0.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.lineage import cut, spared, written
-from tidepanel.llm.words import chunks, find_words, mix, run_hashes, shingle_hashes, span_hashes, text_bytes
+from tidepanel.llm.words import chunks, find_words, lean, mix, run_hashes, shingle_hashes, span_hashes, text_bytes
 
 SHINGLE = 5
 WORDS = 50
@@ -90,6 +90,7 @@ def windows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     repeats without end makes no large group.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(0).to_numpy()
@@ -113,6 +114,7 @@ def codes(docs: DataFrame) -> DataFrame:
     """(``doc``, ``key``, ``codes``): 16 bits of each word's hash."""
     kind = docs.schema["doc"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
@@ -184,6 +186,7 @@ def compared(pairs: DataFrame, coded: DataFrame) -> DataFrame:
     wanted = pairs.groupBy(F.col("source").alias("key")).agg(F.collect_set("block").alias("blocks"))
     kind = coded.schema["doc"].dataType.simpleString()
 
+    @lean
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -197,6 +200,7 @@ def compared(pairs: DataFrame, coded: DataFrame) -> DataFrame:
     sources = coded.join(wanted, "key").select("key", "doc", "codes", "blocks")
     sources = sources.mapInArrow(blocks, f"source long, block int, source_id {kind}, first long, theirs binary")
 
+    @lean
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -221,6 +225,7 @@ def runs(open_places: DataFrame) -> DataFrame:
     ``open_places`` has (``key``, ``codes``, ``places``, ``spans``): where the anchors begin, and passages that are known.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, key in enumerate(batch.column(0).to_pylist()):
@@ -299,6 +304,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = own.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(spans, "_key", "left").drop("_key")
     at, spans_at = docs.columns.index(text_col), len(docs.columns)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)

@@ -7,9 +7,10 @@ a column into slices of about a MB (a single longer text makes a slice of its ow
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,33 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc
+        return lambda keep: 0
+
+
+def give_back() -> None:
+    """Returns memory that is freed, but kept by Arrow's pool and the C library, to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` (batches to batches) for workers that outlive it: it gives freed memory back when its task ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def chunks(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts hold about ``most`` bytes together, one row at least."""
     n, at = len(offsets) - 1, 0
