@@ -164,3 +164,23 @@ def test_quantiles_of_values_of_both_signs(spark):
     got = {r.g: r for r in c.linear_quantiles(df, ["g"], "v", levels).collect()}
     for g, want in part.items():
         assert [got[g][k] for k in levels] == pytest.approx(list(np.quantile(want, list(levels.values()))), rel=1e-12)
+
+
+def frames_to_the_end(df):
+    """Window frames of the plan that Spark would add up anew for each row."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in plan
+    return plan.count("currentrow$(), unboundedfollowing$()")
+
+
+def test_next_values_take_one_pass(spark):
+    """A frame from the row to the end is quadratic in the length of a series; the values stay the same."""
+    rows = spark.createDataFrame([(1, i, float(i) if i in (2, 4, 7) else None) for i in range(10)] + [(2, 0, None)], "household_id long, step long, y double")
+    filled = grid.fill_short_gaps(rows, 2)
+    assert frames_to_the_end(filled) == 0
+    assert [r.y for r in filled.where("household_id = 1").orderBy("step").collect()] == [None, None, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, None, None]
+    assert frames_to_the_end(grid.interpolate_onto(rows, rows.withColumnRenamed("y", "t"), "t", 3)) == 0
+    s = rows.select("*", F.lit("a").alias("sequence_id"))
+    assert frames_to_the_end(grid.fill_sequence_weather(s, "y")) == 0
+    got = rows.withColumn("n", c.next_value("y", grid.back_in_time())).orderBy("household_id", "step").collect()
+    assert [r.n for r in got] == [2.0, 2.0, 2.0, 4.0, 4.0, 7.0, 7.0, 7.0, None, None, None]

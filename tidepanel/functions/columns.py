@@ -137,8 +137,12 @@ def last_value(c: Column | str, w) -> Column:
     return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def next_value(c: Column | str, w) -> Column:
-    return F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def next_value(c: Column | str, back) -> Column:
+    """The value at the row or the next one after it; the window ``back`` is in falling order.
+
+    Spark adds up a frame that reaches to the end anew for each row, which is quadratic in the rows of a group; one from the start grows.
+    """
+    return last_value(c, back)
 
 
 def all_of(flags: list[Column]) -> Column:

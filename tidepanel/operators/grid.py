@@ -14,6 +14,10 @@ def by_time(id_col: str = ID, step: str = STEP):
     return Window.partitionBy(id_col).orderBy(step)
 
 
+def back_in_time(id_col: str = ID, step: str = STEP):
+    return Window.partitionBy(id_col).orderBy(F.col(step).desc())
+
+
 def dedup_last(readings: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key, the last by ``order``; rows with a null key go. Combined before the shuffle."""
     rest = [c for c in readings.columns if c not in keys]
@@ -40,17 +44,17 @@ def gap_runs(panel: DataFrame, value: str = Y) -> DataFrame:
     return runs.withColumn("run_size", F.count("*").over(Window.partitionBy(ID, "run_id")))
 
 
-def _between(value: str, w, step: str = STEP) -> Column:
+def _between(value: str, w, back, step: str = STEP) -> Column:
     """Linear in time between the neighbours that have a value."""
     before = last_value(F.when(F.col(value).isNotNull(), F.struct(F.col(step).alias("t"), F.col(value).alias("v"))), w)
-    after = next_value(F.when(F.col(value).isNotNull(), F.struct(F.col(step).alias("t"), F.col(value).alias("v"))), w)
+    after = next_value(F.when(F.col(value).isNotNull(), F.struct(F.col(step).alias("t"), F.col(value).alias("v"))), back)
     return F.when(F.col(value).isNotNull(), F.col(value)).otherwise(before["v"] + (after["v"] - before["v"]) * (F.col(step) - before["t"]) / (after["t"] - before["t"]))
 
 
 def fill_short_gaps(panel: DataFrame, limit: int = 1, value: str = Y) -> DataFrame:
     """Fills gaps of at most ``limit`` steps between two values; adds ``originally_missing``."""
     runs = gap_runs(panel, value)
-    filled = F.when(F.col(value).isNull() & (F.col("run_size") <= limit), _between(value, by_time())).otherwise(F.col(value))
+    filled = F.when(F.col(value).isNull() & (F.col("run_size") <= limit), _between(value, by_time(), back_in_time())).otherwise(F.col(value))
     return runs.withColumn("_f", filled).withColumn("originally_missing", F.col(value).isNull().cast("int")).drop(value, "missing", "run_id", "run_size").withColumnRenamed("_f", value)
 
 
@@ -64,7 +68,7 @@ def interpolate_onto(target: DataFrame, source: DataFrame, value: str, limit: in
     seen = F.sum(F.col(value).isNotNull().cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     numbered = axis.withColumn("_k", seen)
     nth = F.row_number().over(Window.partitionBy(ID, "_k").orderBy(STEP)) - 1
-    filled = numbered.withColumn("_n", nth).withColumn("_v", _between(value, w))
+    filled = numbered.withColumn("_n", nth).withColumn("_v", _between(value, w, back_in_time()))
     values = filled.select(ID, STEP, F.when((F.col("_n") <= limit) & (F.col("_k") > 0), F.col("_v")).alias(value))
     return target.join(values, [ID, STEP], "left")
 
@@ -100,7 +104,7 @@ def fill_sequence_weather(sequences: DataFrame, value: str) -> DataFrame:
     """Forward within a sequence, then backward over a household's later sequences, then the median of all."""
     forward = F.last(value, ignorenulls=True).over(Window.partitionBy("sequence_id").orderBy(STEP).rowsBetween(Window.unboundedPreceding, 0))
     filled = sequences.withColumn("_f", forward)
-    back = F.first("_f", ignorenulls=True).over(by_time().rowsBetween(0, Window.unboundedFollowing))
+    back = next_value("_f", back_in_time())
     middle = sequences.agg(F.median(value).alias("_m"))
     return filled.withColumn("_b", back).crossJoin(F.broadcast(middle)).withColumn(value, F.coalesce("_b", "_m")).drop("_f", "_b", "_m")
 
