@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import columns as c
 from tidepanel.operators import conformal, encode, features, grid, inference, metrics, origins, portfolio, quality, splits
+from tidepanel.plans import panels
 from tidepanel.plans.config import ConfigError, checked, merged, signature
 
 
@@ -184,3 +185,11 @@ def test_next_values_take_one_pass(spark):
     assert frames_to_the_end(grid.fill_sequence_weather(s, "y")) == 0
     got = rows.withColumn("n", c.next_value("y", grid.back_in_time())).orderBy("household_id", "step").collect()
     assert [r.n for r in got] == [2.0, 2.0, 2.0, 4.0, 4.0, 7.0, 7.0, 7.0, None, None, None]
+
+
+def test_remaining_origins_are_found_once(spark):
+    """Both sides of the anti-join read one written table; before, each had the windows over the whole panel."""
+    df = panels.remaining_antijoin(spark, "/root/testdata/sf0.01")
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    every = {(r.household_id, r.step) for r in panels.valid_origins(spark, "/root/testdata/sf0.01").collect()}
+    assert every and {(r.household_id, r.step) for r in df.collect()} == {(h, s) for h, s in every if s % 24 not in (0, 6, 12, 18)}

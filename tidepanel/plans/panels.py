@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.artifacts import artifact
 from tidepanel.functions.columns import draw, finite, isclose, numeric, sorted_quantiles, thin
 from tidepanel.operators import encode, features, grid, metrics, origins, quality, splits
 from tidepanel.plans import base as b
@@ -295,6 +296,7 @@ def epoch_index(spark, d):
 # ---- origins and supervised rows ----
 
 
+@artifact
 def _valid(spark, d):
     return origins.valid_origins(b.filled(spark, d), 6, 2, stride=1)
 
