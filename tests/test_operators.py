@@ -1,6 +1,7 @@
 """Hand-worked values and causality of the library's operators."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -193,3 +194,14 @@ def test_remaining_origins_are_found_once(spark):
     assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
     every = {(r.household_id, r.step) for r in panels.valid_origins(spark, "/root/testdata/sf0.01").collect()}
     assert every and {(r.household_id, r.step) for r in df.collect()} == {(h, s) for h, s in every if s % 24 not in (0, 6, 12, 18)}
+
+
+def test_running_visits(spark):
+    """Visits before the first row, between rows, repeated or of others count as before, and no row holds a list of all visits."""
+    rows = spark.createDataFrame([(h, i, float(i)) for h in (1, 2, None) for i in (3, 5, 6, 9)], "household_id long, step long, y double")
+    visits = spark.createDataFrame([(1, 1), (1, 5), (1, 5), (1, 7), (1, 20), (3, 4), (None, 4), (1, None)], "household_id int, visit_step int")
+    df = grid.visit_segments(rows, visits)
+    assert not {"collect_list", "filter("} & set(re.findall(r"collect_list|filter\(", df._jdf.queryExecution().optimizedPlan().toString()))
+    assert df.columns == ["household_id", "step", "y", "segment_id"] and df.schema["segment_id"].dataType.simpleString() == "bigint"
+    got = {(r.household_id, r.step): (r.y, r.segment_id) for r in df.collect()}
+    assert got == {(h, i): (float(i), n if h == 1 else 0) for h in (1, 2, None) for i, n in ((3, 1), (5, 3), (6, 3), (9, 4))}

@@ -84,10 +84,11 @@ def causal_fill(panel: DataFrame, value: str, name: str, every: int) -> DataFram
 
 
 def visit_segments(panel: DataFrame, visits: DataFrame, visit: str = "visit_step") -> DataFrame:
-    """Adds ``segment_id``, the number of the household's visits up to the row. Visits of a household are few."""
-    per = visits.groupBy(ID).agg(F.collect_list(visit).alias("_v"))
-    count = F.size(F.filter(F.col("_v"), lambda v: v <= F.col(STEP)))
-    return panel.join(per, ID, "left").withColumn("segment_id", F.when(F.col("_v").isNull(), 0).otherwise(count).cast("long")).drop("_v")
+    """Adds ``segment_id``, the number of the household's visits up to the row: a running count over rows and visits in one order."""
+    marks = visits.where(F.col(ID).isNotNull() & F.col(visit).isNotNull()).select(ID, F.col(visit).alias("_at"), F.lit(1).alias("_visit"))
+    rows = panel.withColumns({"_at": F.col(STEP), "_visit": F.lit(0)}).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy(ID).orderBy("_at", F.col("_visit").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("segment_id", F.sum("_visit").over(w)).where("_visit = 0").drop("_at", "_visit")
 
 
 def continuous_sequences(panel: DataFrame, least: int, value: str = Y) -> DataFrame:
