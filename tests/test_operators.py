@@ -205,3 +205,17 @@ def test_running_visits(spark):
     assert df.columns == ["household_id", "step", "y", "segment_id"] and df.schema["segment_id"].dataType.simpleString() == "bigint"
     got = {(r.household_id, r.step): (r.y, r.segment_id) for r in df.collect()}
     assert got == {(h, i): (float(i), n if h == 1 else 0) for h in (1, 2, None) for i, n in ((3, 1), (5, 3), (6, 3), (9, 4))}
+
+
+def test_grids_grow_in_many_tasks(spark):
+    """The few small rows of spans aren't joined into one task, which would make every row of the grid."""
+    rows = spark.range(400).select((F.col("id") % 40).alias("household_id"), (F.col("id") * 7 % 1000).alias("step"), F.lit(1.0).alias("y"))
+    for common in (False, True):
+        df = grid.regular_grid(rows, common=common)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and plan.index("Generate explode") < plan.index("REPARTITION_BY_NUM")
+        spans = rows.groupBy("household_id").agg(F.min("step").alias("a"), F.max("step").alias("b")).collect()
+        ends = min(r.a for r in spans), max(r.b for r in spans)
+        want = {(r.household_id, i) for r in spans for i in (range(ends[0], ends[1] + 1) if common else range(r.a, r.b + 1))}
+        got = [(r.household_id, r.step) for r in df.collect()]
+        assert len(got) == len(want) and set(got) == want
