@@ -28,14 +28,14 @@ def dedup_last(readings: DataFrame, keys: list[str], order: str) -> DataFrame:
 def regular_grid(readings: DataFrame, id_col: str = ID, step: str = STEP, common: bool = False) -> DataFrame:
     """Each series on all steps from its first to its last (``common``: from the first to the last of all).
 
-    Spans are few small rows that grow to all rows of the grid, so they are dealt to a fixed number of tasks: joined by their size, they would all grow in one. Dealt by
+    Spans are few small rows that grow to all rows of the grid, so they are dealt to all cores: joined by their size, they would all grow in one. Dealt by
     the series alone they would lie as the aggregate left them, and Spark drops such a repartition.
     """
     spans = readings.groupBy(id_col).agg(F.min(step).alias("_a"), F.max(step).alias("_b"))
     if common:
         ends = readings.agg(F.min(step).alias("_a"), F.max(step).alias("_b"))
         spans = readings.select(id_col).distinct().crossJoin(F.broadcast(ends))
-    tasks = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = readings.sparkSession.sparkContext.defaultParallelism
     grid = spans.where("_a IS NOT NULL").repartition(tasks, id_col, "_a").select(id_col, F.explode(F.sequence("_a", "_b")).alias(step))
     return grid.join(readings, [id_col, step], "left")
 
